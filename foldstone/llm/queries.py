@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foldstone.llm import line_dedup
+from foldstone.llm import line_dedup, simhash
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
+QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup, "op9_simhash": simhash.op9_simhash}
 
 ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL}
