@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from foldstone.llm import line_dedup, simhash
+from foldstone.llm import line_dedup, mixing, sharding, simhash
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup, "op9_simhash": simhash.op9_simhash}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_sharding": sharding.op5_sharding,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_simhash": simhash.op9_simhash,
+}
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
