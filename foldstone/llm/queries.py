@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from foldstone.llm import line_dedup, mixing, sharding, simhash
+from foldstone.llm import line_dedup, mixing, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_sharding": sharding.op5_sharding,
     "op7_mixing": mixing.op7_mixing,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_simhash": simhash.op9_simhash,
+    "op10_topk": topk.op10_topk,
 }
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
+    "op10_topk": topk.ORACLE_SQL,
+}
