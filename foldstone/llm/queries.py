@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foldstone.llm import embedding_dedup, line_dedup, mixing, sharding, simhash, topk, url_filter
+from foldstone.llm import chat, embedding_dedup, line_dedup, mixing, sharding, simhash, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op4_chat_format": chat.op4_chat_format,
     "op5_sharding": sharding.op5_sharding,
     "op7_mixing": mixing.op7_mixing,
     "op8_url_filter": url_filter.op8_url_filter,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op2_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op4_chat_format": chat.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
