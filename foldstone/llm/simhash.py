@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from foldstone.llm.components import components, local_roots
 from foldstone.llm.shared import arrow_rows, stage
 
-TOP_BITS = 16
+TOP_BITS, NODE_ROWS = 16, 8192
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -56,11 +56,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int) -> int:
     """Signed 64-bit: bit b is set if it is set in over half of the shingle hashes."""
-    hashes = shingle_hashes(text, words)
-    counts = np.zeros(64, np.int64)
-    for start in range(0, len(hashes), 65536):
-        counts += np.unpackbits(hashes[start : start + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -74,8 +70,19 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return arrow_rows(picked, "doc_id long, rk long, fp long", rows, 16384)
 
 
-def _walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, bits: int = 64, leaf: int = 32, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of two sorted uint64 arrays whose values differ in at most `budget` bits; i < j where same."""
+def allowance(budget: int, rotations: int) -> list[int]:
+    """Bits that may differ in the first d bits, d = 0 to 64.
+
+    With rotations, the fingerprint is cut into as many equal blocks, and the trie is walked once for each block in
+    front. Two fingerprints within the budget have some rotation in which no run of leading blocks holds more than its
+    share of it (the cycle lemma), so pruning by that share loses no link.
+    """
+    block = 64 // rotations
+    return [budget * -(-d // block) // rotations for d in range(65)]
+
+
+def _walk(a: np.ndarray, b: np.ndarray, same: bool, allowed: list[int], bits: int = 64, leaf: int = 32, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of two sorted uint64 arrays whose values differ in at most allowed[64] bits; i < j where same."""
     if not len(a) or not len(b):
         return
     one = np.array
@@ -85,7 +92,7 @@ def _walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, bits: int = 64,
         size = (ahi - alo) * (bhi - blo)
         small = (size <= leaf) | (depth == bits)
         if small.any():
-            yield from _leaves(a, b, same, budget, *(x[small] for x in (alo, ahi, blo, bhi)), chunk)
+            yield from _leaves(a, b, same, allowed[bits], *(x[small] for x in (alo, ahi, blo, bhi)), chunk)
         alo, ahi, blo, bhi, d = (x[~small] for x in (alo, ahi, blo, bhi, d))
         if not len(alo):
             continue
@@ -95,7 +102,7 @@ def _walk(a: np.ndarray, b: np.ndarray, same: bool, budget: int, bits: int = 64,
         kids = [(alo, amid, blo, bmid, d), (amid, ahi, bmid, bhi, d), (alo, amid, bmid, bhi, d + 1)]
         kids.append(tuple(x[~twin] for x in (amid, ahi, blo, bmid, d + 1)))
         down = [np.concatenate(x) for x in zip(*kids)]
-        alive = (down[0] < down[1]) & (down[2] < down[3]) & (down[4] <= budget)
+        alive = (down[0] < down[1]) & (down[2] < down[3]) & (down[4] <= allowed[depth + 1])
         down = [x[alive] for x in down]
         for start in range(0, len(down[0]), chunk):
             todo.append((depth + 1, *(x[start : start + chunk] for x in down)))
@@ -124,9 +131,14 @@ def _leaves(a, b, same, budget, alo, ahi, blo, bhi, chunk):
         start = stop
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links between two sorted arrays of distinct fingerprints, or inside one."""
-    found = list(_walk(a, a if b is None else b, b is None, budget))
+def trie_links(a: np.ndarray, b: np.ndarray | None, allowed: list[int], near=None) -> tuple[np.ndarray, np.ndarray]:
+    """All links between two sorted arrays of fingerprints, or inside one; near(i, j) may reject links."""
+    found = []
+    for i, j in _walk(a, a if b is None else b, b is None, allowed):
+        if near is not None and len(i):
+            kept = near(i, j)
+            i, j = i[kept], j[kept]
+        found.append((i, j))
     return tuple(np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
 
 
@@ -136,7 +148,7 @@ class TriePlan:
     counts: fingerprints per 16-bit prefix, a histogram of fixed size.
     """
 
-    def __init__(self, counts: dict[int, int], budget: int, node_rows: int):
+    def __init__(self, counts: dict[int, int], allowed: list[int], node_rows: int):
         size = np.zeros(1 << TOP_BITS, np.int64)
         for prefix, n in counts.items():
             size[prefix] = n
@@ -161,7 +173,7 @@ class TriePlan:
             first[lo, depth] = (unit, blocks)
             unit += blocks
         left, right = [], []
-        for x, y in self._pairs(nodes, budget):
+        for x, y in self._pairs(nodes, allowed):
             (u, n), (v, m) = first[x[:2]], first[y[:2]]
             for p in range(u, u + n):
                 for q in range(max(v, p) if u == v else v, v + m):
@@ -175,7 +187,7 @@ class TriePlan:
         self.pairs, self.offsets = ids[order], np.searchsorted(of[order], np.arange(unit + 1))
 
     @staticmethod
-    def _pairs(nodes: list[tuple[int, int, int]], budget: int) -> Iterator[tuple]:
+    def _pairs(nodes: list[tuple[int, int, int]], allowed: list[int]) -> Iterator[tuple]:
         """The walk over the top: recursive halving of the node list, pruned by the bits that differ."""
         starts = np.array([n[0] for n in nodes], np.int64)
 
@@ -187,7 +199,7 @@ class TriePlan:
         while todo:
             p, q, depth, d = todo.pop()
             (i, ie), (j, je) = span(p, depth), span(q, depth)
-            if i == ie or j == je or d > budget:
+            if i == ie or j == je or d > allowed[depth]:
                 continue
             whole_p, whole_q = nodes[i][1] <= depth, nodes[j][1] <= depth
             if whole_p or whole_q:  # one side is a unit of work: it meets all units below the other that can be near
@@ -197,7 +209,7 @@ class TriePlan:
                     for k in range(i, ie):
                         for m in range(j, je):
                             deep = min(nodes[k][1], nodes[m][1])
-                            if ((nodes[k][0] ^ nodes[m][0]) >> (TOP_BITS - deep)).bit_count() <= budget:
+                            if ((nodes[k][0] ^ nodes[m][0]) >> (TOP_BITS - deep)).bit_count() <= allowed[deep]:
                                 yield nodes[k], nodes[m]
                 continue
             todo += [(p << 1, q << 1, depth + 1, d), (p << 1 | 1, q << 1 | 1, depth + 1, d), (p << 1, q << 1 | 1, depth + 1, d + 1)]
@@ -210,53 +222,129 @@ def _mixed(fp: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) >> np.uint64(7)
 
 
-def near_links(fps: DataFrame, budget: int, node_rows: int = 8192, stars: bool = True) -> DataFrame:
-    """(u, v) for distinct fingerprints `fp` (long) within `budget` bits; stars: a spanning forest of each task's links."""
-    counts = {r[0]: r[1] for r in fps.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect()}  # at most 2**16 rows
-    plan = fps.sparkSession.sparkContext.broadcast(TriePlan(counts, budget, node_rows))
+def near_links(prints: DataFrame, budget: int, rotations: int = 1, sketch_bits: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(u, v): a spanning forest, per task, of the links among the rows of prints (node, fp[, sketch array<long>]).
+
+    Rows are linked whose fp differ in at most `budget` bits and, where given, whose sketches differ in at most
+    `sketch_bits`. Rows should be distinct in fp and sketch.
+    """
+    allowed = allowance(budget, rotations)
+    turns = [r * (64 // rotations) for r in range(rotations)]
+    columns = ["node", "fp"] + ["sketch"] * (sketch_bits is not None)
+    found = None
+    for turn in turns:
+        turned = prints.select("node", (F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn)) if turn else F.col("fp")).alias("fp"), *columns[2:])
+        links = _one_trie(turned, allowed, sketch_bits, node_rows)
+        found = links if found is None else found.union(links)
+    return found
+
+
+def _one_trie(prints: DataFrame, allowed: list[int], sketch_bits: int | None, node_rows: int) -> DataFrame:
+    counts = {r[0]: r[1] for r in prints.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect()}  # at most 2**16 rows
+    plan = prints.sparkSession.sparkContext.broadcast(TriePlan(counts, allowed, node_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = plan.value
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
-                signed = batch.column(0).slice(start, 2048).to_numpy(zero_copy_only=False)
-                fp = signed.view(np.uint64)
+                part = batch.slice(start, 2048)
+                fp = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
                 prefix = (fp >> np.uint64(64 - TOP_BITS)).astype(np.int64)
                 unit = t.unit[prefix] + (_mixed(fp) % t.blocks[prefix].astype(np.uint64)).astype(np.int64)
                 n = t.offsets[unit + 1] - t.offsets[unit]
                 at = np.repeat(t.offsets[unit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                pair, own = t.pairs[at], np.repeat(unit, n)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(t.left[pair] != own), pa.array(np.repeat(signed, n))], names=["pair", "right", "fp"])
+                pair, own, of = t.pairs[at], np.repeat(unit, n), pa.array(np.repeat(np.arange(part.num_rows), n))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(t.left[pair] != own), *(part.column(c).take(of) for c in part.schema.names)], names=["pair", "right", *part.schema.names])
 
     def join(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        right = table.column("right").to_numpy(zero_copy_only=False)
-        a, b = np.sort(fp[~right]), np.sort(fp[right])
         t, pair = plan.value, table.column("pair")[0].as_py()
-        i, j = trie_links(a, None if t.left[pair] == t.right[pair] else b, budget)
-        if t.left[pair] != t.right[pair]:
-            j = j + len(a)
-        both = np.concatenate((a, b)).view(np.int64)
-        if stars:
-            linked = np.unique(np.concatenate((i, j)))
-            i, j = linked, local_roots(len(both), i, j)[linked]
-            i, j = i[i != j], j[i != j]
-        return pa.table({"u": both[i], "v": both[j]})
-
-    sent = fps.select("fp").mapInArrow(send, "pair long, right boolean, fp long")
-    return sent.groupBy("pair").applyInArrow(join, "u long, v long")
+        table = table.sort_by([("right", "ascending"), ("node", "ascending")])
+        node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        right = table.column("right").to_numpy(zero_copy_only=False)
+        cut = len(node) - int(right.sum())
+        a, b = np.argsort(fp[:cut], kind="stable"), np.argsort(fp[cut:], kind="stable") + cut
+        same = bool(t.left[pair] == t.right[pair])
+        near = None
+        if sketch_bits is not None:
+            sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+            near = lambda i, j: np.bitwise_count(sketch[a[i]] ^ sketch[(a if same else b)[j]]).sum(1) <= sketch_bits
+        i, j = trie_links(fp[a], None if same else fp[b], allowed, near)
+        i, j = a[i], (a if same else b)[j]
+        root = local_roots(len(node), i, j)
+        far = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"u": node[far], "v": node[root[far]]})
+
+    sketch = [f for f in prints.schema.fields if f.name == "sketch"]
+    extra = ", sketch array<long>" if sketch else ""
+    return prints.mapInArrow(send, "pair long, right boolean, node long, fp long" + extra).groupBy("pair").applyInArrow(join, "u long, v long")
 
 
 def simhash_components(prints: DataFrame, budget: int) -> DataFrame:
     """prints (doc_id, fp, …) with component_id, the smallest doc_id reachable."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    found = components(near_links(distinct, budget))
+    found = components(near_links(distinct.select(F.col("fp").alias("node"), "fp"), budget))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(ids, "fp")
 
 
+#: For one_of_each: candidates differ in at most CANDIDATE_BITS of the fingerprint of CANDIDATE_WORDS-word shingles.
+CANDIDATE_WORDS, CANDIDATE_BITS, ROTATIONS, SKETCHES = 2, 8, 4, 4
+#: Odd multipliers that derive the further hashes of a shingle from its first.
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def sketch_limit(similarity: float, sketches: int = SKETCHES) -> int:
+    """Bits in which sketches of `similarity` differ on average, and a standard deviation and a quarter more."""
+    cosine = 2 * similarity / (1 + similarity)  # of shingle sets of like size
+    n, p = 64 * sketches, float(np.arccos(cosine) / np.pi)
+    return round(n * p + 1.25 * (n * p * (1 - p)) ** 0.5)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit: bit b is set if it is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[start : start + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def sketched(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, rk, fp, sketch): the candidate fingerprint, and further fingerprints of the distinct `words`-word shingles."""
+
+    def rows(each: Iterator[dict]) -> Iterator[tuple]:
+        for doc in each:
+            hashes = np.unique(shingle_hashes(doc["text"], words))
+            mixed = [hashes * m for m in _MULTIPLIERS[:SKETCHES]]
+            yield doc["doc_id"], doc["rk"], fingerprint(doc["text"], CANDIDATE_WORDS), [majority(h ^ (h >> np.uint64(29))) for h in mixed]
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
+    return arrow_rows(picked, "doc_id long, rk long, fp long, sketch array<long>", rows, 8192)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of each group the document with the smallest doc_id stays.
+
+    Fingerprints of five-word shingles differ in 4 to 14 of 64 bits at a Jaccard similarity of 0.8 to 0.9, too many for
+    a trie. Candidates are therefore found on shorter shingles, within 8 bits and four rotations of the trie, and a
+    candidate pair is a link if 256 further bits over the distinct `words`-word shingles put its similarity at
+    `similarity` or more (within the sketch's error). Rows equal in doc_id and text are one document. A document
+    without doc_id stays only in a group in which none has one.
+    """
+    prints = stage(sketched(docs, words), "sketches")
+    key = ["fp", *(F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCHES))]
+    keyed = prints.select("doc_id", "rk", *key)
+    names = ["fp", *(f"s{k}" for k in range(SKETCHES))]
+    # the smallest id first; null ids last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
+    nodes = stage(keyed.groupBy(*names).agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    links = near_links(nodes.select("node", "fp", F.array(*names[1:]).alias("sketch")), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity))
+    roots = components(stage(links, "near-links"))
+    stays = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rk")), "left_semi")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     prints = stage(fingerprints(docs, 3).select("doc_id", "fp"), "doc-fingerprints")
