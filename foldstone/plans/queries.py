@@ -12,6 +12,7 @@ from foldstone.functions import expiry, keygroups
 from foldstone.operators import aggregates, lists, maintenance, maps, scans, snapshots, timers, values
 from foldstone.plans.spec import StateSpec
 from foldstone.sources import logs
+from foldstone.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -708,3 +709,28 @@ def broadcast_state(spark, d):
     nations = logs.table(spark, d, "nation").join(logs.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
     state = values.value_state(_value_ops(spark, d)).join(_customers(spark, d), "key")
     return state.join(F.broadcast(nations), "c_nationkey").groupBy("region").agg(F.count(F.lit(1)).alias("keys"), _money().alias("value"))
+
+
+# the same state live, on transformWithState
+
+
+@query("live_value", f"WITH {VALUE_STATE} SELECT key, value FROM s")
+def live_value(spark, d):
+    return live.run(_value_ops(spark, d).select("key", "op", "value", "seq"), live.ValueProcessor()).where("value is not null")
+
+
+@query("live_list", f"WITH {LIST_STATE} {_described_sql()}")
+def live_list(spark, d):
+    state = live.run(_list_ops(spark, d).select("key", "op", "value", "seq"), live.ListProcessor())
+    return _described(lists.non_empty(state))
+
+
+@query("live_map", f"WITH {MAP_STATE} SELECT key, subkey, value FROM s")
+def live_map(spark, d):
+    state = live.run(_map_ops(spark, d).select("key", "subkey", "op", "value", "seq"), live.MapProcessor())
+    return state.select("key", F.explode("entries").alias("subkey", "value"))
+
+
+@query("live_reduce", f"WITH {LIVE} SELECT key, max(value) AS value FROM a GROUP BY key")
+def live_reduce(spark, d):
+    return live.run(_puts(spark, d).select("key", "op", "value", "seq"), live.ReducingProcessor(max))
