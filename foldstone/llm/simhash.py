@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from foldstone.llm.components import components, local_roots
 from foldstone.llm.shared import arrow_rows, stage
 
-TOP_BITS, NODE_ROWS = 16, 8192
+#: The top is planned from prefixes of TOP_BITS; the first FLOOR levels are always split, so that small inputs are
+#: spread too and replication stays at 11 nodes until a sixteenth of the fingerprints exceeds a node.
+TOP_BITS, FLOOR, NODE_ROWS = 16, 4, 1 << 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -160,7 +162,7 @@ class TriePlan:
             n = int(total[lo + (1 << (TOP_BITS - depth))] - total[lo])
             if not n:
                 continue
-            if n > node_rows and depth < TOP_BITS:
+            if (n > node_rows or depth < FLOOR) and depth < TOP_BITS:
                 todo += [(prefix << 1, depth + 1), (prefix << 1 | 1, depth + 1)]
             else:
                 nodes.append((lo, depth, -(-n // node_rows) if n > 2 * node_rows else 1))
