@@ -68,12 +68,17 @@ def group_start(group: Column, m: int) -> Column:
     return group * base + F.least(group, F.lit(extra))
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """Integer division of non-negative longs, exact while the quotient stays below 2^50."""
+    return F.round((a - F.pmod(a, b)) / b).cast("long")
+
+
 def bucket(code: Column, start: Column, span: Column, b: int) -> Column:
     """Bucket of a code inside a task whose codes are start … start + span - 1."""
-    return F.floor((code - start) * F.lit(b).cast("decimal(20,0)") / span).cast("long")
+    return _quotient((code - start) * F.lit(b).cast("long"), span)
 
 
 def bucket_range(k: Column, start: Column, span: Column, b: int) -> tuple[Column, Column]:
     """First and last code of bucket k: the inverse of bucket()."""
-    at = lambda x: start + F.ceil(x.cast("decimal(20,0)") * span / b).cast("long")
+    at = lambda x: start + _quotient(x.cast("long") * span + (b - 1), F.lit(b).cast("long"))
     return at(k), at(k + 1) - 1

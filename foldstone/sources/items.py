@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 ITEM = ("state_type", "state_name", "key_group", "key", "ns", "map_key", "value")
 
 
-def write_items(items: DataFrame, path: str, groups_per_directory: int = 128, compression: str = "lz4raw") -> None:
+def write_items(items: DataFrame, path: str, groups_per_directory: int = 128, compression: str = "lz4_raw") -> None:
     """Export, sorted by key group inside each file. Deleting a savepoint is deleting its directory."""
     (
         items.withColumn("group_range", F.floor(F.col("key_group") / groups_per_directory).cast("int"))
