@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(spark, min_docs)
     for b in reversed(range(len(edges))):
         runs.add(lines.where(F.col("batch") == b))
-    hot = runs.frequent().select("h1", "h2", "holder")
+    # staged, so that both sides of the join come from plain exchanges and a hot line's side can be split
+    hot = stage(runs.frequent().select("h1", "h2", "holder"), "frequent-lines")
     dropped = (
         lines.join(hot, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("holder")))
