@@ -12,11 +12,13 @@ is the encoding. For a BPE model the encoding is the one path all of whose
 neighbouring pieces are stable (merging their joint text by the model's scores
 gives the two pieces back); arcs between other neighbours weigh infinity, and
 each prefix of the input then has exactly one path of finite weight, so one
-state per position suffices. Stability of a pair is worked out once and kept.
+state per position suffices and a search for any finite path finds the shortest.
+Stability of a pair is worked out once and kept.
 
 No piece has U+2581 behind another character, so the input is cut before each
 run of it (and around line feeds, which no piece holds) and the composition is
-done per part; parts repeat, and a bounded cache keeps their ids. All state is
+done per part; parts repeat, and a bounded cache keeps their ids. A part not met
+lately is cut further, between characters that no piece holds next to each other. All state is
 per task and bounded. The vocabulary's path is a parameter.
 
 Defined results: a null or empty text has no ids and decodes to the empty text.
@@ -44,7 +46,7 @@ SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _FINAL = ""  # marks a state in which a piece ends
-_PARTS, _PAIRS, _LONG = 1 << 17, 1 << 19, 64
+_PARTS, _PAIRS, _LONG = 1 << 18, 1 << 19, 64
 
 
 class Transducer:
@@ -56,6 +58,8 @@ class Transducer:
         self.scores = {p: s for p, s, t in pieces if t == _NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == _BYTE}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == _UNKNOWN), 0)
+        #: Neighbouring characters inside some piece.
+        self.inner = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
         self.start: dict = {}
         for piece in self.ids:
             state = self.start
@@ -70,6 +74,7 @@ class Transducer:
         self._part: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}
         self._stable: dict[tuple[str, str], bool] = {}
+        self._halves: dict[str, tuple[str, str] | None] = {}  # of pieces and single characters
 
     def __reduce__(self):
         return Transducer, (self.kind, self.pieces, self.dummy_prefix)
@@ -96,64 +101,142 @@ class Transducer:
         for part in self.parts.findall(self.normalise(text or "")):
             ids = known.get(part)
             if ids is None:
-                ids = self._before.get(part)
-                if ids is None:
-                    ids = np.fromiter(self._labels(self.shortest(part)), np.int32).tobytes()
-                if len(part) <= _LONG:
-                    if len(known) >= _PARTS:  # the older half goes, frequent parts have moved to the newer one
-                        self._before, self._part = known, (known := {})
-                    known[part] = ids
+                ids = self._cut(part)
+                known = self._part
             out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _cut(self, part: str) -> bytes:
+        """A part not met lately: cut wherever no piece holds the two neighbouring characters, so no path crosses."""
+        inner = self.inner
+        cuts = [0, *(i for i, pair in enumerate(zip(part, part[1:]), 1) if pair not in inner), len(part)]
+        ids = self._ids(part) if len(cuts) == 2 else b"".join([self._ids(part[a:b]) for a, b in zip(cuts, cuts[1:])])
+        self._keep(part, ids)
+        return ids
+
+    def _ids(self, part: str) -> bytes:
+        ids = self._part.get(part) or self._before.get(part)
+        if ids is None:
+            ids = np.fromiter(self._labels(self.shortest(part)), np.int32).tobytes()
+        self._keep(part, ids)
+        return ids
+
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= _LONG:
+            if len(self._part) >= _PARTS:  # the older half goes, frequent parts have moved to the newer one
+                self._before, self._part = self._part, {}
+            self._part[part] = ids
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     def shortest(self, part: str) -> list[str]:
         """The pieces on the shortest path that reads `part`; a code point without a piece stands for itself."""
+        return self._lightest(part) if self.kind == _UNIGRAM else self._only_finite(part)
+
+    def _arcs(self, part: str, start: int) -> list[int]:
+        """Where the arcs that leave `start` end, ascending."""
+        state, end, ends = self.start, start, []
+        if part[start] not in self.ids:
+            ends.append(start + 1)
+        for c in part[start:]:
+            state = state.get(c)
+            if state is None:
+                break
+            end += 1
+            if _FINAL in state:
+                ends.append(end)
+        return ends
+
+    def _lightest(self, part: str) -> list[str]:
+        """Relaxation in topological order."""
         n = len(part)
         cost, back = [math.inf] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
         for start in range(n):
-            state, end = self.start, start
-            if part[start] not in self.ids:
-                self._relax(part, cost, back, start, start + 1)
-            while end < n and (state := state.get(part[end])) is not None:
-                end += 1
-                if _FINAL in state:
-                    self._relax(part, cost, back, start, end)
+            for end in self._arcs(part, start):
+                weight = cost[start] - self.scores.get(part[start:end], self.penalty)
+                if weight < cost[end]:
+                    cost[end], back[end] = weight, start
         path, at = [], n
         while at:
             path.append(part[back[at] : at])
             at = back[at]
         return path[::-1]
 
-    def _relax(self, part: str, cost: list[float], back: list[int], start: int, end: int) -> None:
-        """Follow the arc that reads part[start:end] behind the best path to `start`."""
-        if self.kind == _UNIGRAM:
-            weight = -self.scores.get(part[start:end], self.penalty)
-        else:
-            weight = 0.0 if not start or self._is_stable(part[back[start] : start], part[start:end]) else math.inf
-        if cost[start] + weight < cost[end]:
-            cost[end], back[end] = cost[start] + weight, start
+    def _only_finite(self, part: str) -> list[str]:
+        """Depth first, longest arc first. A position from which the end is not reached is not entered again:
+        it has one finite path from the start, so the way there does not matter."""
+        n, at, path, dead = len(part), 0, [], set()
+        open_arcs = [self._arcs(part, 0)]
+        while at < n:
+            arcs = open_arcs[-1]
+            while arcs:
+                end = arcs.pop()
+                if end not in dead:
+                    piece = part[at:end]
+                    if not path or self._is_stable(path[-1], piece):
+                        path.append(piece)
+                        at = end
+                        if at < n:
+                            open_arcs.append(self._arcs(part, at))
+                        break
+            else:
+                dead.add(at)
+                open_arcs.pop()
+                at -= len(path.pop())
+        return path
 
     def _is_stable(self, left: str, right: str) -> bool:
         found = self._stable.get((left, right))
         if found is None:
             if len(self._stable) >= _PAIRS:
                 self._stable.clear()
-            found = self._stable[left, right] = self._merged(left + right) == [left, right]
+            # runs of white space share one score, so only carrying the merges out tells
+            found = self._merged(left + right) == [left, right] if SPACE * 2 in left + right else self._holds(left, right)
+            self._stable[left, right] = found
+        return found
+
+    def _holds(self, left: str, right: str) -> bool:
+        """No merge across the border comes before the merges that made its two sides.
+
+        Undo these merges from the last to the first; at each step the pieces that then touch at the border must not
+        form a piece that would have been merged earlier than what has been undone.
+        """
+        scores, least, or_equal = self.scores, -math.inf, False
+        while True:
+            joint = scores.get(left + right)
+            if joint is not None and (joint > least or or_equal and joint == least):
+                return False
+            made_left, made_right = self._made(left), self._made(right)
+            if made_left is None or made_right is None:  # a piece that merging never makes
+                return False
+            if len(left) > 1 and (len(right) == 1 or scores[left] < scores[right]):
+                least, or_equal, left = scores[left], False, made_left[1]
+            elif len(right) > 1:
+                least, or_equal, right = scores[right], True, made_right[0]
+            else:
+                return True
+
+    def _made(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that the last merge of `piece` joins; itself twice if it is a character."""
+        found = self._halves.get(piece, False)
+        if found is False:
+            parts = self._merged(piece, 2)
+            found = self._halves[piece] = (piece, piece) if len(piece) == 1 else tuple(parts) if len(parts) == 2 and self._merged(piece) == [piece] else None
         return found
 
-    def _merged(self, text: str) -> list[str]:
-        """Merge the best-scored neighbours, leftmost first, until none is a piece. Only for a pair's short text."""
-        parts = list(text)
-        while len(parts) > 1:
-            score, at = max((self.scores.get(a + b, -math.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if score == -math.inf:
+    def _merged(self, text: str, stop: int = 1) -> list[str]:
+        """Merge the best-scored neighbours, leftmost first, until none is a piece or `stop` parts are left. For short texts."""
+        parts, scores, none = list(text), self.scores, -math.inf
+        while len(parts) > stop:
+            joint = [scores.get(a + b, none) for a, b in zip(parts, parts[1:])]
+            best = max(joint)
+            if best == none:
                 break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            at = joint.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def _labels(self, path: list[str]) -> Iterator[int]:
