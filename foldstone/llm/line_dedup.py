@@ -99,7 +99,9 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
     """docs with text replaced by its kept lines, plus n_lines and n_dropped (long)."""
     spark = docs.sparkSession
-    edges = [float("-inf"), *sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.01)))]
+    ids = docs.select(F.col("doc_id").cast("double").alias("d"))
+    cuts = ids.approxQuantile("d", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    edges = [float("-inf"), *sorted(set(cuts))]
     batch = sum((F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))) >= e).cast("int") for e in edges[1:]) if len(edges) > 1 else F.lit(0)
     lines = stage(line_hashes(docs, min_chars).withColumn("batch", F.lit(0) + batch), "line-hashes", "batch")
     runs = LineRuns(spark, min_docs)

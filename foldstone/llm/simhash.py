@@ -292,7 +292,7 @@ def simhash_components(prints: DataFrame, budget: int) -> DataFrame:
 
 
 #: For one_of_each: candidates differ in at most CANDIDATE_BITS of the fingerprint of CANDIDATE_WORDS-word shingles.
-CANDIDATE_WORDS, CANDIDATE_BITS, ROTATIONS, SKETCHES = 2, 8, 4, 4
+CANDIDATE_WORDS, CANDIDATE_BITS, ROTATIONS, SKETCHES = 2, 11, 4, 4
 #: Odd multipliers that derive the further hashes of a shingle from its first.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -329,7 +329,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """The rows of docs without near copies: of each group the document with the smallest doc_id stays.
 
     Fingerprints of five-word shingles differ in 4 to 14 of 64 bits at a Jaccard similarity of 0.8 to 0.9, too many for
-    a trie. Candidates are therefore found on shorter shingles, within 8 bits and four rotations of the trie, and a
+    a trie. Candidates are therefore found on shorter shingles, within 11 bits and four rotations of the trie, and a
     candidate pair is a link if 256 further bits over the distinct `words`-word shingles put its similarity at
     `similarity` or more (within the sketch's error). Rows equal in doc_id and text are one document. A document
     without doc_id stays only in a group in which none has one.
