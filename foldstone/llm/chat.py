@@ -62,7 +62,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _numbered(turns: DataFrame, span: int, system_first: bool = True) -> DataFrame:
+def _numbered(turns: DataFrame, span: int) -> DataFrame:
     """Turns with their tokens, the running sum before them, their span, and whether they open the conversation."""
     tokens = (F.ceil(F.octet_length("text") / 4) + OVERHEAD).cast("long")
     rows = turns.select(
