@@ -38,7 +38,8 @@ def ring_order(spark: SparkSession, shards: int, virtual: int, arcs: int) -> Dat
         .groupBy("at").agg(F.collect_set("shard").alias("here"))
     )
     whole = spark.range(arcs).withColumnRenamed("id", "arc").join(F.broadcast(points), F.col("arc") == F.col("at"), "left")
-    onward = Window.orderBy("arc").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last arc back, so that the minimum of what follows is a running one
+    onward = Window.orderBy(F.desc("arc")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     steps = []
     for s in range(shards):
