@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, most
     every = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.get(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(every) - 1) % len(weights)).cast("int"))
     fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    below, above, whole = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    below, whole = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    above = Window.orderBy(F.desc("ratio"), F.col("source").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         sizes.withColumn("w", w)
         .withColumn("cap", F.col("source_size") * float(most))
