@@ -46,7 +46,7 @@ SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _FINAL = ""  # marks a state in which a piece ends
-_PARTS, _PAIRS, _LONG = 1 << 18, 1 << 19, 64
+_PARTS, _PAIRS, _LONG = 1 << 17, 1 << 17, 64
 
 
 class Transducer:
