@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from foldstone.llm.shared import arrow_rows, stage
 
 #: Bound on the labelled documents that the model is fitted on.
-SAMPLE, LEAST, SHARE, MOST, ROUNDS, FOLDS = 12_000, 5, 0.002, 0.2, 100, 5
+SAMPLE, LEAST, SHARE, MOST, ROUNDS, FOLDS = 8_000, 5, 0.002, 0.2, 100, 5
 #: Lengths of the beginnings that are features of a word besides itself.
 STEMS = (4, 5, 6)
 _SENTENCE = re.compile(r"[^.!?\n]+")
