@@ -291,17 +291,23 @@ def simhash_components(prints: DataFrame, budget: int) -> DataFrame:
     return prints.join(ids, "fp")
 
 
-#: For one_of_each: candidates differ in at most CANDIDATE_BITS of the fingerprint of CANDIDATE_WORDS-word shingles.
+#: For one_of_each: the trie's candidates differ in at most CANDIDATE_BITS of the fingerprint of CANDIDATE_WORDS-word shingles.
 CANDIDATE_WORDS, CANDIDATE_BITS, ROTATIONS, SKETCHES = 2, 11, 4, 4
+#: Candidates too are documents that share a band, BAND_ROWS equal minima out of BANDS * BAND_ROWS: at a similarity of 0.8
+#: all bands differ once in 150,000 pairs, wherever the edits are.
+BANDS, BAND_ROWS = 30, 5
+#: Buckets of up to SMALL nodes list all their pairs; larger ones list each node's nearest, in blocks of BLOCK at first.
+SMALL, BLOCK, NEAREST = 8, 1024, 2
 #: Odd multipliers that derive the further hashes of a shingle from its first.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_MINIMA = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 9) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
 
 
 def sketch_limit(similarity: float, sketches: int = SKETCHES) -> int:
-    """Bits in which sketches of `similarity` differ on average, and a standard deviation and a quarter more."""
+    """Bits in which sketches of `similarity` differ on average, and six standard deviations more: a filter, not a verdict."""
     cosine = 2 * similarity / (1 + similarity)  # of shingle sets of like size
     n, p = 64 * sketches, float(np.arccos(cosine) / np.pi)
-    return round(n * p + 1.25 * (n * p * (1 - p)) ** 0.5)
+    return round(n * p + 6 * (n * p * (1 - p)) ** 0.5)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -312,37 +318,130 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def bands(hashes: np.ndarray) -> list[int]:
+    """One hash per band of minima over a set of shingle hashes."""
+    least = np.full(len(_MINIMA), np.iinfo(np.uint64).max)
+    for start in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[start : start + 1024] * _MINIMA[:, None]).min(1), out=least)
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, rk, fp, sketch): the candidate fingerprint, and further fingerprints of the distinct `words`-word shingles."""
+    """(doc_id, rk, a, b, fp, sketch, bands) of the distinct shingles, however often each is repeated.
+
+    a and b are a digest of the set of `words`-word shingles, which sketch and bands describe; fp is of the shorter ones.
+    """
 
     def rows(each: Iterator[dict]) -> Iterator[tuple]:
         for doc in each:
             hashes = np.unique(shingle_hashes(doc["text"], words))
             mixed = [hashes * m for m in _MULTIPLIERS[:SKETCHES]]
-            yield doc["doc_id"], doc["rk"], fingerprint(doc["text"], CANDIDATE_WORDS), [majority(h ^ (h >> np.uint64(29))) for h in mixed]
+            a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
+            yield doc["doc_id"], doc["rk"], a, b, majority(np.unique(shingle_hashes(doc["text"], CANDIDATE_WORDS))), [majority(h ^ (h >> np.uint64(29))) for h in mixed], bands(hashes)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
-    return arrow_rows(picked, "doc_id long, rk long, fp long, sketch array<long>", rows, 8192)
+    return arrow_rows(picked, "doc_id long, rk long, a long, b long, fp long, sketch array<long>, bands array<long>", rows, 4096)
+
+
+def _nearest(limit: int, nearest: int, final: bool):
+    """For one block of a bucket: the `nearest` nodes of other labels that each node's sketch is close to, as (u, v, more)."""
+
+    def propose(table: pa.Table) -> pa.Table:
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        out: list[list[np.ndarray]] = [[], [], []]
+        for i in range(len(node)):
+            others = np.flatnonzero(label != label[i])
+            far = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
+            others, far = others[far <= limit], far[far <= limit]
+            more = len(others) > nearest
+            if more:
+                others = others[np.argpartition(far, nearest)[:nearest]]
+            for to, x in zip(out, (np.minimum(node[i], node[others]), np.maximum(node[i], node[others]), np.full(len(others), more or not final))):
+                to.append(x)
+        return pa.table({"u": np.concatenate(out[0]), "v": np.concatenate(out[1]), "more": np.concatenate(out[2]).astype(bool)})
+
+    return propose
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v, good): whether the two sets of shingles have the similarity, counted exactly."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    of = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rk"))).select("node", "text")
+
+    def sets(each: Iterator[dict]) -> Iterator[tuple]:
+        for row in each:
+            yield row["node"], np.unique(shingle_hashes(row["text"], words)).tobytes()
+
+    # equal rows of docs meet one node: any of them will do
+    held = stage(arrow_rows(texts, "node long, shingles binary", sets, 1024), "shingle-sets").dropDuplicates(["node"])
+
+    def compared(each: Iterator[dict]) -> Iterator[tuple]:
+        for row in each:
+            x, y = np.frombuffer(row["x"], np.uint64), np.frombuffer(row["y"], np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            yield row["u"], row["v"], both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+    met = pairs.join(held.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    return stage(arrow_rows(met.select("u", "v", "x", "y"), "u long, v long, good boolean", compared, 8192), "verified")
+
+
+def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, root): components of the pairs that share a bucket (key, node, n rows) and have the similarity.
+
+    A pair is left untested only if its sketches rule it out or its nodes are already connected. Large buckets are
+    worked off in rounds: each lists the nearest pairs of nodes not yet connected, ever more of them, until it has
+    listed all that there are.
+    """
+    limit = sketch_limit(similarity)
+    sketches = nodes.select("node", "sketch")
+    groups = buckets.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    paired = groups.select(F.posexplode("nodes").alias("at", "u"), "nodes").select("u", F.explode(F.slice("nodes", F.col("at") + 2, F.lit(SMALL))).alias("v")).distinct()
+    far = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
+    close = paired.join(sketches.toDF("u", "x"), "u").join(sketches.toDF("v", "y"), "v").where(far <= limit).select("u", "v")
+    large = stage(buckets.where(F.col("n") > SMALL).join(sketches, "node"), "large-buckets")
+    hubs = large.where(F.col("n") > BLOCK).groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("hub"))
+    block = lambda n: F.ceil(n / BLOCK).cast("long")
+    rows = large.select("key", "node", "sketch", F.col("node").alias("label"), F.pmod(F.xxhash64("node"), block(F.col("n"))).alias("block"))
+    # the hub joins the blocks of its bucket
+    hub = hubs.select("key", F.col("hub.node").alias("node"), F.col("hub.sketch").alias("sketch"), F.col("hub.node").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("hub.n")) - 1)).alias("block"))
+    rows, nearest, final = rows.union(hub), NEAREST, not hubs.limit(1).count()
+    tested, roots = None, None
+    while True:
+        listed = rows.groupBy("key", "block").applyInArrow(_nearest(limit, nearest, final), "u long, v long, more boolean").where("u <> v")
+        pairs = stage((listed if tested is not None else listed.union(close.withColumn("more", F.lit(False)))).groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
+        fresh = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+        found = _verified(fresh.select("u", "v"), nodes, docs, words, similarity)
+        tested = found if tested is None else tested.union(found)
+        roots = components(tested.where("good").select("u", "v"))
+        if final and not pairs.where("more").limit(1).count():
+            return roots
+        labelled = large.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("label"), F.lit(0).cast("long").alias("block"))
+        still = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+        rows, nearest, final = labelled.join(still.select("key"), "key", "left_semi"), 8 * nearest, True
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near copies: of each group the document with the smallest doc_id stays.
 
-    Fingerprints of five-word shingles differ in 4 to 14 of 64 bits at a Jaccard similarity of 0.8 to 0.9, too many for
-    a trie. Candidates are therefore found on shorter shingles, within 11 bits and four rotations of the trie, and a
-    candidate pair is a link if 256 further bits over the distinct `words`-word shingles put its similarity at
-    `similarity` or more (within the sketch's error). Rows equal in doc_id and text are one document. A document
-    without doc_id stays only in a group in which none has one.
+    A link is a Jaccard similarity of at least `similarity` between the sets of distinct `words`-word shingles; groups
+    are the components of the links. Fingerprints of five-word shingles differ in 4 to 14 of 64 bits at a similarity of
+    0.8 to 0.9, too many for a trie. Candidates are therefore the fingerprints of shorter shingles, within 11 bits and
+    four rotations of the trie, and the documents that share a band of minima. Every candidate link is then counted on
+    the two sets. Rows equal in doc_id and text are one document. A document without doc_id stays only in a group in
+    which none has one.
     """
     prints = stage(sketched(docs, words), "sketches")
-    key = ["fp", *(F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCHES))]
-    keyed = prints.select("doc_id", "rk", *key)
-    names = ["fp", *(f"s{k}" for k in range(SKETCHES))]
     # the smallest id first; null ids last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
-    nodes = stage(keyed.groupBy(*names).agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
-    links = near_links(nodes.select("node", "fp", F.array(*names[1:]).alias("sketch")), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity))
-    roots = components(stage(links, "near-links"))
+    same = [F.first(c).alias(c) for c in ("fp", "sketch", "bands")]
+    nodes = stage(prints.groupBy("a", "b").agg(first.alias("first"), *same).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    links = stage(near_links(nodes.select("node", "fp", "sketch"), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity)), "near-links")
+    trie = links.select("v", "u").union(links.select("v", "v")).distinct().select(F.xxhash64(F.lit("trie"), "v").alias("key"), F.col("u").alias("node"))
+    members = nodes.select(F.explode("bands").alias("key"), "node").union(trie)
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    roots = exact_links(stage(members.join(sizes, "key"), "buckets"), nodes, docs, words, similarity)
     stays = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rk")), "left_semi")
 

@@ -153,6 +153,38 @@ def test_one_of_each(spark):
     assert kept[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def shingle_set(text):
+    tokens = text.split()
+    return {" ".join(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited_copies(seed, texts, words):
+    """Base texts of random words, each with copies that repeat, append, cut, replace a block or scatter changes."""
+    r = random.Random(seed)
+    pool = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    fresh = lambda n: [r.choice(pool) for _ in range(n)]
+    out = []
+    for _ in range(texts):
+        t = fresh(words)
+        k = words // 12
+        out += [t, t + t[:20] * 30, t + fresh(2 * k), t[: -2 * k], t[: 3 * k] + fresh(k) + t[4 * k :], t[: 2 * k] + t[:20] * 10 + t[3 * k :]]
+        out.append([r.choice(pool) if i % 70 == 35 else w for i, w in enumerate(t)])
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("words", [60, 300])
+def test_one_of_each_finds_repeated_appended_cut_and_replaced_copies(spark, words):
+    texts = edited_copies(words, 12, words)
+    sets = [shingle_set(t) for t in texts]
+    expected = groups(list(range(len(texts))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    kept = simhash.one_of_each(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert {x.doc_id for x in kept} == set(expected.values())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 300)] + [(7, 7)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
