@@ -185,6 +185,26 @@ def test_one_of_each_finds_repeated_appended_cut_and_replaced_copies(spark, word
     assert {x.doc_id for x in kept} == set(expected.values())
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_one_of_each_keeps_what_is_less_similar(spark, monkeypatch, block):
+    """Similarities from 0.6 to 0.95, and groups that hang together by one link each."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(15):
+        t = [word() for _ in range(200)]
+        for more in range(8, 120, 8):
+            texts.append(" ".join(t + [word() for _ in range(more)]))
+    t = [word() for _ in range(400)]
+    for i in range(40):  # a chain: neighbours are similar, ends are not
+        texts.append(" ".join(t[3 * i : 3 * i + 200]))
+    sets = [shingle_set(t) for t in texts]
+    expected = groups(list(range(len(texts))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    kept = simhash.one_of_each(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert {x.doc_id for x in kept} == set(expected.values())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 300)] + [(7, 7)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
