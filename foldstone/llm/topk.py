@@ -12,8 +12,8 @@ Scores are integers: components become floor(scale * x), computed in doubles;
 values beyond 64 bits saturate and sums wrap, as Spark's long does.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do rows without vec_id. Rows sharing a vec_id count as one,
-with the smallest vector. A missing component counts as 0, so vectors of other
+take no part, nor do rows without vec_id. Rows sharing a vec_id take part each, but
+never meet one another; rows equal in vec_id and vector count as one. A missing component counts as 0, so vectors of other
 lengths meet. Ties go to the smaller vec_id. An empty table gives an empty
 result; extra columns are ignored.
 """
@@ -35,8 +35,8 @@ def quantised(vectors: DataFrame, scale: float) -> DataFrame:
     fits = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fits)
-        .groupBy(F.col("vec_id").cast("long").alias("vec_id"))
-        .agg(F.min(F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))).alias("terms"))
+        .select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").distinct()
+        .select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("terms"))
     )
 
 

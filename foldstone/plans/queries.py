@@ -179,7 +179,9 @@ def list_current(spark, d):
 @query("list_add_all", "SELECT conv_id AS key, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, arg_min(text, turn) AS first, arg_max(text, turn) AS last FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def list_add_all(spark, d):
     """Turns appended to their conversation, read back as one list."""
-    state = lists.list_state(lists.live_elements(logs.null_rules(logs.conversation_ops(logs.table(spark, d, "conversations")), "list")))
+    turns = lists.live_elements(logs.null_rules(logs.conversation_ops(logs.table(spark, d, "conversations")), "list"))
+    # equal turns are elements each
+    state = lists.list_state(turns.withColumn("said", F.col("value")).withColumn("row", F.monotonically_increasing_id()), order=("seq", "said", "row"))
     total = F.aggregate("elements", F.lit(0).cast("long"), lambda s, t: s + F.char_length(t))
     return state.select("key", F.size("elements").cast("long").alias("n"), total.alias("chars"), F.element_at("elements", 1).alias("first"), F.element_at("elements", -1).alias("last"))
 

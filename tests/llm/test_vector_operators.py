@@ -78,6 +78,15 @@ def test_top_k_edges(spark):
     assert topk.top_k(frame.where("false"), F.col("vec_id") % 50 == 0, 5, 1.0).count() == 0
 
 
+def test_top_k_with_repeated_ids_matches_sql(spark, tmp_path):
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 0.0]), (1, [0.0, 9.0]), (2, [0.5, 0.5])]
+    spark.createDataFrame(rows, VECTORS).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(tuple(r)[::3] + (r["rank"], r.vec_id) for r in topk.op10_topk(spark, str(tmp_path)).collect())
+    dot = lambda a, b: sum(256 * x * 256 * y for x, y in zip(a, b))
+    best = sorted((-dot(q, c), i) for k, q in rows if k == 0 for i, c in rows if i)[:5]
+    assert found == sorted((0, int(-s), n, i) for n, (s, i) in enumerate(best, 1))
+
+
 def test_partition_selection_breaks_ties_by_id():
     at = topk._best(np.array([5, 7, 5, 5, 9]), np.array([1, 2, 3, 4, 5]), 5, 3)
     assert sorted(at.tolist()) == [0, 1, 2]

@@ -219,3 +219,12 @@ def test_compaction_keeps_answers(spark):
     assert {r.key: r.elements for r in lists.list_state(lists.live_elements(kept)).collect()} == replay_lists(log)
     kept = snapshots.compact(old, True).unionByName(snapshots.compact(new, False))
     assert {r.key: r.value for r in values.last_writes(kept).where("op <> 'DELETE'").collect()} == replay_values(log)
+
+
+def test_equal_turns_are_added_each(spark, tmp_path):
+    from foldstone.plans import queries
+
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.list_add_all(spark, str(tmp_path)).first()
+    assert (found.n, found.chars, found.first, found.last) == (2 + 1, 7, "hi", "yes")
