@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,10 +18,12 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); in local mode one of our own where it is unset."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/foldstone-{context.applicationId}"
@@ -35,7 +39,21 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(staged)] = (weakref.ref(staged), path)
+    return staged
+
+
+#: Paths of staged frames that are still referenced.
+_STAGED: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete what stage() wrote for these frames, once nothing that is still to run reads them."""
+    for df in staged:
+        of, path = _STAGED.pop(id(df))
+        if of() is df:
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -4,13 +4,14 @@ The distinct fingerprints form a binary trie. The join starts at (root, root)
 and walks pairs of nodes at the same depth; each step down adds the bits that
 differ on the two edges, and a pair is dropped once the sum exceeds the budget.
 
-The top of the trie is planned once from a histogram of 16-bit prefixes (at
-most 65,536 counts, whatever the input): nodes of up to `node_rows`
-fingerprints become the units of work, and the same walk over them yields the
-pairs of nodes that can still hold a link. A fingerprint is sent to the few
-pairs its node takes part in; each pair is walked to the leaves in one task.
-A node that is still larger at 16 bits is cut into blocks by a mixed hash and
-all pairs of its blocks are walked, so a task never holds more than two blocks.
+The walk's upper levels are arithmetic on prefixes: at the depth where a node
+holds `node_rows` fingerprints on average, a node meets the nodes whose prefix
+differs from its own by a mask within the budget, so a fingerprint is sent to
+those pairs of nodes and each pair is walked to the leaves in one task. The
+driver sees a histogram of 16-bit prefixes (at most 65,536 counts, whatever the
+input) and holds no pairs. A node with more than `node_rows` fingerprints is
+cut into blocks by a mixed hash and all pairs of its blocks are walked, so a
+task never holds more than two blocks.
 
 Documents with equal fingerprints are one trie leaf, so a group of copies is
 one row here. A task returns its links as stars (each fingerprint with the
@@ -34,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldstone.llm import bloom
 from foldstone.llm.components import components, local_roots
-from foldstone.llm.shared import arrow_rows, stage
+from foldstone.llm.shared import arrow_rows, release, stage
 
-#: The top is planned from prefixes of TOP_BITS; the first FLOOR levels are always split, so that small inputs are
-#: spread too and replication stays at 11 nodes until a sixteenth of the fingerprints exceeds a node.
-TOP_BITS, FLOOR, NODE_ROWS = 16, 4, 1 << 16
+#: Nodes are prefixes of FLOOR to TOP_BITS bits, as many as bring NODE_ROWS fingerprints to a node on average.
+TOP_BITS, FLOOR, NODE_ROWS = 16, 4, 1 << 17
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -145,78 +146,40 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, allowed: list[int], near=Non
 
 
 class TriePlan:
-    """Nodes of the trie's top and the pairs of them that the budget allows.
+    """Nodes of the trie at one depth, and the pairs of them that the budget allows, all by arithmetic on prefixes.
 
-    counts: fingerprints per 16-bit prefix, a histogram of fixed size.
+    counts: fingerprints per 16-bit prefix, a histogram of fixed size. A node that holds more than node_rows is cut
+    into blocks by a mixed hash; a unit of work is a pair of nodes or blocks. Nothing here grows with the pairs.
     """
 
-    def __init__(self, counts: dict[int, int], allowed: list[int], node_rows: int):
-        size = np.zeros(1 << TOP_BITS, np.int64)
-        for prefix, n in counts.items():
-            size[prefix] = n
-        total = np.concatenate(([0], np.cumsum(size)))
-        nodes, todo = [], [(0, 0)]  # (prefix, depth)
-        while todo:
-            prefix, depth = todo.pop()
-            lo = prefix << (TOP_BITS - depth)
-            n = int(total[lo + (1 << (TOP_BITS - depth))] - total[lo])
-            if not n:
-                continue
-            if (n > node_rows or depth < FLOOR) and depth < TOP_BITS:
-                todo += [(prefix << 1, depth + 1), (prefix << 1 | 1, depth + 1)]
-            else:
-                nodes.append((lo, depth, -(-n // node_rows) if n > 2 * node_rows else 1))
-        nodes.sort()
-        #: The first unit of the node that each prefix lies in, and the number of its blocks.
-        self.unit, self.blocks = np.zeros(1 << TOP_BITS, np.int64), np.ones(1 << TOP_BITS, np.int64)
-        first, unit = {}, 0
-        for lo, depth, blocks in nodes:
-            self.unit[lo : lo + (1 << (TOP_BITS - depth))], self.blocks[lo : lo + (1 << (TOP_BITS - depth))] = unit, blocks
-            first[lo, depth] = (unit, blocks)
-            unit += blocks
-        left, right = [], []
-        for x, y in self._pairs(nodes, allowed):
-            (u, n), (v, m) = first[x[:2]], first[y[:2]]
-            for p in range(u, u + n):
-                for q in range(max(v, p) if u == v else v, v + m):
-                    left.append(p)
-                    right.append(q)
-        self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
-        #: The pairs of each unit, as offsets into one list.
-        ids = np.concatenate((np.arange(len(left)), np.flatnonzero(self.left != self.right)))
-        of = np.concatenate((self.left, self.right[self.left != self.right]))
-        order = np.argsort(of, kind="stable")
-        self.pairs, self.offsets = ids[order], np.searchsorted(of[order], np.arange(unit + 1))
-
-    @staticmethod
-    def _pairs(nodes: list[tuple[int, int, int]], allowed: list[int]) -> Iterator[tuple]:
-        """The walk over the top: recursive halving of the node list, pruned by the bits that differ."""
-        starts = np.array([n[0] for n in nodes], np.int64)
-
-        def span(prefix: int, depth: int) -> tuple[int, int]:
-            lo = prefix << (TOP_BITS - depth)
-            return int(np.searchsorted(starts, lo)), int(np.searchsorted(starts, lo + (1 << (TOP_BITS - depth))))
-
-        todo = [(0, 0, 0, 0)] if nodes else []  # (prefix, prefix, depth, bits that differ)
-        while todo:
-            p, q, depth, d = todo.pop()
-            (i, ie), (j, je) = span(p, depth), span(q, depth)
-            if i == ie or j == je or d > allowed[depth]:
-                continue
-            whole_p, whole_q = nodes[i][1] <= depth, nodes[j][1] <= depth
-            if whole_p or whole_q:  # one side is a unit of work: it meets all units below the other that can be near
-                if whole_p and whole_q:
-                    yield nodes[i], nodes[j]
-                else:
-                    for k in range(i, ie):
-                        for m in range(j, je):
-                            deep = min(nodes[k][1], nodes[m][1])
-                            if ((nodes[k][0] ^ nodes[m][0]) >> (TOP_BITS - deep)).bit_count() <= allowed[deep]:
-                                yield nodes[k], nodes[m]
-                continue
-            todo += [(p << 1, q << 1, depth + 1, d), (p << 1 | 1, q << 1 | 1, depth + 1, d), (p << 1, q << 1 | 1, depth + 1, d + 1)]
-            if p != q:
-                todo.append((p << 1 | 1, q << 1, depth + 1, d + 1))
+    def __init__(self, counts: np.ndarray, allowed: list[int], node_rows: int, floor: int):
+        n = int(counts.sum())
+        self.depth = min(TOP_BITS, max(floor, (max(n - 1, 0) // node_rows).bit_length()))
+        size = counts.reshape(1 << self.depth, -1).sum(1)
+        self.blocks = -(-size // node_rows)
+        self.first = np.concatenate(([0], np.cumsum(self.blocks)))
+        masks = np.zeros(1, np.int64)
+        for level in range(1, self.depth + 1):
+            masks = np.concatenate((masks << 1, masks << 1 | 1))
+            masks = masks[np.bitwise_count(masks) <= allowed[level]]
+        #: A node meets those whose prefix differs from its own by one of these.
+        self.masks = masks
+
+    def units(self, fp: np.ndarray) -> np.ndarray:
+        node = (fp >> np.uint64(64 - self.depth)).astype(np.int64)
+        return self.first[node] + (_mixed(fp) % np.maximum(self.blocks[node], 1).astype(np.uint64)).astype(np.int64)
+
+    def meetings(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, pair) for every pair of units that each fingerprint takes part in."""
+        node, own = (fp >> np.uint64(64 - self.depth)).astype(np.int64), self.units(fp)
+        partner = (node[:, None] ^ self.masks[None, :]).ravel()
+        n = self.blocks[partner]
+        row = np.repeat(np.repeat(np.arange(len(fp)), len(self.masks)), n)
+        other = np.repeat(self.first[partner], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return row, np.minimum(own[row], other) * self.first[-1] + np.maximum(own[row], other)
+
+    def sides(self, pair: int) -> tuple[int, int]:
+        return divmod(pair, int(self.first[-1]))
 
 
 def _mixed(fp: np.ndarray) -> np.ndarray:
@@ -224,11 +187,11 @@ def _mixed(fp: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) >> np.uint64(7)
 
 
-def near_links(prints: DataFrame, budget: int, rotations: int = 1, sketch_bits: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, budget: int, rotations: int = 1, sketch_bits: int | None = None, node_rows: int = NODE_ROWS, floor: int = FLOOR) -> DataFrame:
     """(u, v): a spanning forest, per task, of the links among the rows of prints (node, fp[, sketch array<long>]).
 
     Rows are linked whose fp differ in at most `budget` bits and, where given, whose sketches differ in at most
-    `sketch_bits`. Rows should be distinct in fp and sketch.
+    `sketch_bits`. Rows should be distinct in fp and sketch. The trie is split to `floor` levels at least.
     """
     allowed = allowance(budget, rotations)
     turns = [r * (64 // rotations) for r in range(rotations)]
@@ -236,39 +199,45 @@ def near_links(prints: DataFrame, budget: int, rotations: int = 1, sketch_bits:
     found = None
     for turn in turns:
         turned = prints.select("node", (F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn)) if turn else F.col("fp")).alias("fp"), *columns[2:])
-        links = _one_trie(turned, allowed, sketch_bits, node_rows)
+        links = _one_trie(turned, allowed, sketch_bits, node_rows, floor)
         found = links if found is None else found.union(links)
     return found
 
 
-def _one_trie(prints: DataFrame, allowed: list[int], sketch_bits: int | None, node_rows: int) -> DataFrame:
-    counts = {r[0]: r[1] for r in prints.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect()}  # at most 2**16 rows
-    plan = prints.sparkSession.sparkContext.broadcast(TriePlan(counts, allowed, node_rows))
+def _one_trie(prints: DataFrame, allowed: list[int], sketch_bits: int | None, node_rows: int, floor: int) -> DataFrame:
+    counts = np.zeros(1 << TOP_BITS, np.int64)
+    for prefix, n in prints.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect():  # at most 2**16 rows
+        counts[prefix] = n
+    plan = prints.sparkSession.sparkContext.broadcast(TriePlan(counts, allowed, node_rows, floor))
+    sketched = sketch_bits is not None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = plan.value
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 fp = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                prefix = (fp >> np.uint64(64 - TOP_BITS)).astype(np.int64)
-                unit = t.unit[prefix] + (_mixed(fp) % t.blocks[prefix].astype(np.uint64)).astype(np.int64)
-                n = t.offsets[unit + 1] - t.offsets[unit]
-                at = np.repeat(t.offsets[unit] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                pair, own, of = t.pairs[at], np.repeat(unit, n), pa.array(np.repeat(np.arange(part.num_rows), n))
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(t.left[pair] != own), *(part.column(c).take(of) for c in part.schema.names)], names=["pair", "right", *part.schema.names])
+                row, pair = plan.value.meetings(fp)
+                columns = [part.column("node"), part.column("fp")]
+                if sketched:  # one fixed-width value a row is half the bytes of an array
+                    bits = np.ascontiguousarray(part.column("sketch").flatten().to_numpy())
+                    ends = np.arange(part.num_rows + 1, dtype=np.int32) * (bits.nbytes // max(part.num_rows, 1))
+                    columns.append(pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(bits)]))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), *(c.take(pa.array(row)) for c in columns)], names=["pair", *part.schema.names])
 
     def join(table: pa.Table) -> pa.Table:
         t, pair = plan.value, table.column("pair")[0].as_py()
-        table = table.sort_by([("right", "ascending"), ("node", "ascending")])
-        node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        right = table.column("right").to_numpy(zero_copy_only=False)
-        cut = len(node) - int(right.sum())
+        low, high = t.sides(pair)
+        same = low == high
+        table = table.sort_by("node")
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        # the rows of the two units apart, each in the order of node
+        order = np.argsort(t.units(fp) != low, kind="stable")
+        node, fp = table.column("node").to_numpy()[order], fp[order]
+        cut = len(node) if same else int((t.units(fp) == low).sum())
         a, b = np.argsort(fp[:cut], kind="stable"), np.argsort(fp[cut:], kind="stable") + cut
-        same = bool(t.left[pair] == t.right[pair])
         near = None
-        if sketch_bits is not None:
-            sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        if sketched:
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)[order]
             near = lambda i, j: np.bitwise_count(sketch[a[i]] ^ sketch[(a if same else b)[j]]).sum(1) <= sketch_bits
         i, j = trie_links(fp[a], None if same else fp[b], allowed, near)
         i, j = a[i], (a if same else b)[j]
@@ -276,9 +245,8 @@ def _one_trie(prints: DataFrame, allowed: list[int], sketch_bits: int | None, no
         far = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"u": node[far], "v": node[root[far]]})
 
-    sketch = [f for f in prints.schema.fields if f.name == "sketch"]
-    extra = ", sketch array<long>" if sketch else ""
-    return prints.mapInArrow(send, "pair long, right boolean, node long, fp long" + extra).groupBy("pair").applyInArrow(join, "u long, v long")
+    extra = ", sketch binary" if sketched else ""
+    return prints.mapInArrow(send, "pair long, node long, fp long" + extra).groupBy("pair").applyInArrow(join, "u long, v long")
 
 
 def simhash_components(prints: DataFrame, budget: int) -> DataFrame:
@@ -365,26 +333,32 @@ def _nearest(limit: int, nearest: int, final: bool):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v, good): whether the two sets of shingles have the similarity, counted exactly."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    of = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rk"))).select("node", "text")
+    """(u, v, good): whether the two sets of shingles have the similarity, counted exactly.
 
-    def sets(each: Iterator[dict]) -> Iterator[tuple]:
-        for row in each:
-            yield row["node"], np.unique(shingle_hashes(row["text"], words)).tobytes()
-
-    # equal rows of docs meet one node: any of them will do
-    held = stage(arrow_rows(texts, "node long, shingles binary", sets, 1024), "shingle-sets").dropDuplicates(["node"])
+    The two texts of a pair meet once, in the task of their pair; texts that no pair asks for are filtered out before
+    they are shuffled.
+    """
+    sides = pairs.select("u", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node")))).alias("s")).select("u", "v", "s.*")
+    asked = stage(sides.join(nodes.select("node", "first"), "node").select("u", "v", "side", F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk")), "asked")
+    held = bloom.may_hold(asked.select(F.xxhash64("__id", "__rk").alias("h")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk")).where(held(F.xxhash64("doc_id", "rk")))
+    met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("rk") == F.col("__rk"))).select("u", "v", "side", "text")
 
     def compared(each: Iterator[dict]) -> Iterator[tuple]:
+        left, pair, known = np.empty(0, np.uint64), None, None
         for row in each:
-            x, y = np.frombuffer(row["x"], np.uint64), np.frombuffer(row["y"], np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            yield row["u"], row["v"], both >= similarity * (len(x) + len(y) - both) - 1e-9
-
-    met = pairs.join(held.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(held.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    return stage(arrow_rows(met.select("u", "v", "x", "y"), "u long, v long, good boolean", compared, 8192), "verified")
+            if row["side"] == 0:
+                if row["u"] != known:
+                    left, known = np.unique(shingle_hashes(row["text"], words)), row["u"]
+            elif (row["u"], row["v"]) != pair:  # equal rows of docs meet one node: any of them will do
+                pair, right = (row["u"], row["v"]), np.unique(shingle_hashes(row["text"], words))
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                yield *pair, both >= similarity * (len(left) + len(right) - both) - 1e-9
+
+    together = met.repartition("u", "v").sortWithinPartitions("u", "v", "side")
+    found = stage(arrow_rows(together, "u long, v long, good boolean", compared, 8192), "verified")
+    release(asked)
+    return found
 
 
 def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -437,13 +411,21 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
     same = [F.first(c).alias(c) for c in ("fp", "sketch", "bands")]
     nodes = stage(prints.groupBy("a", "b").agg(first.alias("first"), *same).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
-    links = stage(near_links(nodes.select("node", "fp", "sketch"), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity)), "near-links")
+    links = stage(near_links(nodes.select("node", "fp", "sketch"), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity), floor=2), "near-links")
     trie = links.select("v", "u").union(links.select("v", "v")).distinct().select(F.xxhash64(F.lit("trie"), "v").alias("key"), F.col("u").alias("node"))
     members = nodes.select(F.explode("bands").alias("key"), "node").union(trie)
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    roots = exact_links(stage(members.join(sizes, "key"), "buckets"), nodes, docs, words, similarity)
+    buckets = stage(members.join(sizes, "key"), "buckets")
+    roots = exact_links(buckets, nodes, docs, words, similarity)
     stays = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rk")), "left_semi")
+    this = lambda i, k: F.col(i).eqNullSafe(F.col("__id")) & (F.col(k) == F.col("__rk"))
+    goes = stage(prints.select("doc_id", "rk").distinct().join(stays, this("doc_id", "rk"), "left_anti").toDF("__id", "__rk"), "copies")
+    release(prints, nodes, links, buckets)
+    # only rows that may be copies are shuffled
+    held = bloom.may_hold(goes.select(F.xxhash64("__id", "__rk").alias("h")))
+    told = docs.withColumn("__key", F.xxhash64("text")).withColumn("__own", F.col("doc_id").cast("long")).withColumn("__may", held(F.xxhash64("__own", "__key")))
+    apart = told.where("__may").join(goes, this("__own", "__key"), "left_anti")
+    return told.where("NOT __may").unionByName(apart).select(*[F.col(c) for c in docs.columns])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
