@@ -57,6 +57,24 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist())), np.uint64, len(tokens) - words + 1)
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    tokens = (text or "").encode().lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def distinct_runs(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of `words` words, made of the words' own hashes: each word is hashed once."""
+    words = min(words, len(hashes))
+    if not words:
+        return hashes
+    run = np.zeros(len(hashes) - words + 1, np.uint64)
+    for at in range(words):
+        run ^= hashes[at : at + len(run)]
+        run *= _MULTIPLIERS[at % len(_MULTIPLIERS)]
+        run ^= run >> np.uint64(29)
+    return np.unique(run)
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """Signed 64-bit: bit b is set if it is set in over half of the shingle hashes."""
     return majority(shingle_hashes(text, words))
@@ -302,10 +320,11 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 
     def rows(each: Iterator[dict]) -> Iterator[tuple]:
         for doc in each:
-            hashes = np.unique(shingle_hashes(doc["text"], words))
+            own = word_hashes(doc["text"])
+            hashes = distinct_runs(own, words)
             mixed = [hashes * m for m in _MULTIPLIERS[:SKETCHES]]
             a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
-            yield doc["doc_id"], doc["rk"], a, b, majority(np.unique(shingle_hashes(doc["text"], CANDIDATE_WORDS))), [majority(h ^ (h >> np.uint64(29))) for h in mixed], bands(hashes)
+            yield doc["doc_id"], doc["rk"], a, b, majority(distinct_runs(own, CANDIDATE_WORDS)), [majority(h ^ (h >> np.uint64(29))) for h in mixed], bands(hashes)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
     return arrow_rows(picked, "doc_id long, rk long, a long, b long, fp long, sketch array<long>, bands array<long>", rows, 4096)
@@ -349,9 +368,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
         for row in each:
             if row["side"] == 0:
                 if row["u"] != known:
-                    left, known = np.unique(shingle_hashes(row["text"], words)), row["u"]
+                    left, known = distinct_runs(word_hashes(row["text"]), words), row["u"]
             elif (row["u"], row["v"]) != pair:  # equal rows of docs meet one node: any of them will do
-                pair, right = (row["u"], row["v"]), np.unique(shingle_hashes(row["text"], words))
+                pair, right = (row["u"], row["v"]), distinct_runs(word_hashes(row["text"]), words)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 yield *pair, both >= similarity * (len(left) + len(right) - both) - 1e-9
 
