@@ -4,18 +4,23 @@ A document is a bag of sentences. A sentence's probability is logistic in the
 weights of its words' features (the word and its beginnings, as stems carry over
 to words never seen); the document's is their noisy-or, so one offending
 sentence suffices and labels of whole documents train sentence scores. Training
-is full-batch gradient descent on a bounded sample of labelled documents
-(SAMPLE rows, chosen by a hash of the id), whose features travel as 32-bit hashes;
-features in fewer than LEAST sampled documents, or in a smaller share of them than
-SHARE or a larger one than MOST, tell nothing and are left out. The model, at most
-one weight per sampled feature, is broadcast, and every whole text is scored.
+is full-batch gradient descent on a bounded sample of labelled documents: at
+most SAMPLE of them, chosen by a hash of the id, and no more than come to
+SAMPLE_BYTES of text together, however many rows share an id and however long
+they are. Features are 32-bit hashes. Those in fewer than LEAST sampled
+documents, or in a share of them above MOST, are left out, and so are those that
+are rare (below SHARE) both among the toxic ones and among all. The gradient is
+summed over chunks of documents, so the driver's memory is bounded by the
+sample. The model, at most one weight per sampled feature, is broadcast, and
+every whole text is scored.
 
 Defined results: a null or empty text, or one without words, has score 0. A
 label row without doc_id or label is not learned from; several label rows for a
 doc_id count as one, toxic if any is. Without labels of both classes every
 score is 0. Rows that share a doc_id are scored each. A null doc_id counts as
 the empty string in the hold-out rule. An empty table gives an empty result;
-extra columns are ignored by the score and kept by `clean`.
+extra columns are ignored by the score and kept by `clean`. Rows equal in id and
+text count once in the sample.
 """
 
 from __future__ import annotations
@@ -26,13 +31,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldstone.llm.shared import arrow_rows, stage
+from foldstone.llm.shared import arrow_rows, release, stage
 
-#: Bound on the labelled documents that the model is fitted on.
-SAMPLE, LEAST, SHARE, MOST, ROUNDS, FOLDS = 8_000, 5, 0.002, 0.2, 100, 5
+#: Bounds on the labelled documents that the model is fitted on: their number, and the bytes of their texts.
+SAMPLE, SAMPLE_BYTES, LEAST, SHARE, MOST, ROUNDS, FOLDS = 8_000, 16 << 20, 5, 0.002, 0.2, 100, 5
+#: Features whose gradient is summed at a time.
+CHUNK = 1 << 19
 #: Lengths of the beginnings that are features of a word besides itself.
 STEMS = (4, 5, 6)
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -53,11 +62,40 @@ def _features(word: str) -> list[int]:
     return [zlib.crc32(f.encode()) - (1 << 31) for f in (word, *(f"{n} {word[:n]}" for n in STEMS if len(word) > n))]
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(label per document, sentences per document, features per sentence, feature hashes) of at most `sample` documents."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, toxic): at most `sample` different labelled documents outside the hold-out, of `most_bytes` together."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__toxic").alias("toxic"))
+    # lengths only, until the rows are few: any number of rows may share a sampled id
+    slim = docs.select("doc_id", F.xxhash64("text").alias("__key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).distinct()
+    few = slim.orderBy(F.xxhash64("doc_id"), "doc_id", "__key").limit(sample)
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "__key").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = few.withColumn("upto", F.sum("__size").over(upto)).where(F.col("upto") <= most_bytes).select("__id", F.col("__key").alias("__rk"), F.col("__toxic").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__rk")))
+    return rows.groupBy("doc_id", "__rk").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).drop("__rk")
+
+
+class Bags:
+    """A chunk of documents: sentences per document, features per sentence, and features as places in the vocabulary."""
+
+    def __init__(self, toxic, per_doc, per_sentence, features):
+        self.positive = np.asarray(toxic) == 1
+        self.doc_of = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+        self.sentence_of = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+        self.features = np.asarray(features, np.int32)
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        """Of minus the log-likelihood of the documents' labels under noisy-or."""
+        z = bias + np.bincount(self.sentence_of, w[self.features], len(self.doc_of))
+        sigma = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        total = np.bincount(self.doc_of, np.logaddexp(0, z), len(self.positive))
+        slope = np.where(self.positive, -1 / np.expm1(np.clip(total, 1e-9, 60)), 1.0)
+        g = slope[self.doc_of] * sigma
+        return np.bincount(self.features, g[self.sentence_of], len(w)), float(g.sum())
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, list[Bags]]:
+    """(the vocabulary: sorted feature hashes, the sampled documents in chunks)."""
 
     def hashed(each: Iterator[dict]) -> Iterator[tuple]:
         for doc in each:
@@ -65,21 +103,52 @@ def sample_features(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np
             yield doc["doc_id"], doc["toxic"], [len(f) for f in sentences], [f for s in sentences for f in s]
 
     schema = "doc_id long, toxic int, sizes array<int>, features array<int>"
-    bags = stage(arrow_rows(rows, schema, hashed, 256), "toxicity-sample")
-    n = bags.count()
-    spread = bags.select(F.explode(F.array_distinct("features")).alias("f")).groupBy("f").count().where(F.col("count").between(max(LEAST, SHARE * n), max(LEAST, MOST * n)))
-    kept = docs.sparkSession.sparkContext.broadcast(np.sort(spread.select("f").toArrow().column("f").to_numpy()))
+    bags = stage(arrow_rows(sampled(docs, labels, sample, most_bytes), schema, hashed, 256), "toxicity-sample")
+    n, n_toxic = bags.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    spread = bags.select("toxic", F.explode(F.array_distinct("features")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    telling = spread.where(((F.col("n") >= max(LEAST, SHARE * n)) | (F.col("t") >= max(LEAST, SHARE * n_toxic))) & (F.col("n") <= max(LEAST, MOST * n)))
+    vocabulary = np.sort(telling.select("f").toArrow().column("f").to_numpy())
+    kept = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def narrowed(each: Iterator[dict]) -> Iterator[tuple]:
+        known = kept.value
         for bag in each:
             features = np.array(bag["features"], np.int32)
-            telling = np.isin(features, kept.value)
+            at = np.searchsorted(known, features)
+            held = at < len(known)
+            held[held] = known[at[held]] == features[held]
             of = np.repeat(np.arange(len(bag["sizes"])), bag["sizes"])
-            yield bag["doc_id"], bag["toxic"], np.bincount(of[telling], minlength=len(bag["sizes"])).tolist(), features[telling].tolist()
+            yield bag["doc_id"], bag["toxic"], np.bincount(of[held], minlength=len(bag["sizes"])).tolist(), at[held].tolist()
 
+    # in one order, so that sums of doubles agree between runs
     table = arrow_rows(bags, schema, narrowed, 256).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    sizes, features = table.column("sizes").combine_chunks(), table.column("features").combine_chunks()
-    return table.column("toxic").to_numpy(), np.diff(sizes.offsets.to_numpy()), sizes.flatten().to_numpy(), features.flatten().to_numpy()
+    release(bags)
+    return vocabulary, list(_chunks(table))
+
+
+def _chunks(table: pa.Table) -> Iterator[Bags]:
+    upto = np.cumsum(pc.list_value_length(table.column("features")).to_numpy())
+    start = 0
+    while start < len(table):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + CHUNK, "right")))
+        part = table.slice(start, stop - start).combine_chunks()
+        sizes, features = part.column("sizes").combine_chunks(), part.column("features").combine_chunks()
+        yield Bags(part.column("toxic").to_numpy(), pc.list_value_length(sizes).to_numpy(), sizes.flatten().to_numpy(), features.flatten().to_numpy())
+        start = stop
+
+
+class _Weights(dict):
+    """Weights of words, worked out when first asked for."""
+
+    def __init__(self, features: dict[int, float]):
+        super().__init__()
+        self.features = features
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= _CACHE:
+            self.clear()
+        w = self[word] = math.fsum(self.features.get(f, 0.0) for f in _features(word))
+        return w
 
 
 class Model:
@@ -87,7 +156,7 @@ class Model:
 
     def __init__(self, bias: float, weights: dict[int, float]):
         self.bias, self.weights = bias, weights
-        self._known: dict[str, float] = {}
+        self._known = _Weights(weights)
 
     def __getstate__(self):
         return self.bias, self.weights
@@ -95,18 +164,12 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def weight(self, word: str) -> float:
-        if (w := self._known.get(word)) is None:
-            if len(self._known) >= _CACHE:
-                self._known.clear()
-            w = self._known[word] = math.fsum(self.weights.get(f, 0.0) for f in _features(word))
-        return w
-
     def sentences(self, text: str | None) -> Iterator[tuple[int, int, float]]:
         """(start, end, log-odds) of each sentence with words, in code points."""
+        weight = self._known.__getitem__
         for m in _SENTENCE.finditer(text or ""):
             if words := _words(m[0]):
-                yield m.start(), m.end(), self.bias + math.fsum(map(self.weight, words))
+                yield m.start(), m.end(), self.bias + math.fsum(map(weight, words))
 
 
 def _softplus(z: float) -> float:
@@ -118,37 +181,32 @@ def noisy_or(odds: list[float]) -> float:
     return -math.expm1(-math.fsum(map(_softplus, odds)))
 
 
-def train(toxic: np.ndarray, per_doc: np.ndarray, per_sentence: np.ndarray, features: np.ndarray, rounds: int = ROUNDS, rate: float = 1.0, sparsity: float = 2e-4, decay: float = 1e-5) -> Model:
+def train(vocabulary: np.ndarray, bags: list[Bags], rounds: int = ROUNDS, rate: float = 1.0, sparsity: float = 2e-4, decay: float = 1e-5) -> Model:
     """Gradient descent (per-weight steps, soft thresholds) on the noisy-or likelihood of the documents' labels."""
-    if not len(toxic) or toxic.min() == toxic.max():
+    n, n_toxic, sentences = (sum(x) for x in zip((0, 0, 0), *((len(b.positive), int(b.positive.sum()), len(b.doc_of)) for b in bags)))
+    if n_toxic in (0, n):
         return Model(-1000.0, {})
-    doc_of = np.repeat(np.arange(len(toxic)), per_doc)
-    sentence_of = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    vocabulary, index = np.unique(features, return_inverse=True)
-    w, step, positive = np.zeros(len(vocabulary)), np.full(len(vocabulary), 1e-8), toxic == 1
-    share = positive.mean() * len(toxic) / max(1, len(per_sentence))
+    w, step = np.zeros(len(vocabulary)), np.full(len(vocabulary), 1e-8)
+    share = n_toxic / max(n_toxic + 1, sentences)
     # low enough that a long harmless document does not add up to a toxic one; words have to make the difference
     bias, bias_step = math.log(share / (1 - share)) - 4, 1e-8
     for _ in range(rounds):
-        z = bias + np.bincount(sentence_of, w[index], len(per_sentence))
-        sigma = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        total = np.bincount(doc_of, np.logaddexp(0, z), len(toxic))
-        slope = np.where(positive, -1 / np.expm1(np.clip(total, 1e-9, 60)), 1.0)
-        g = slope[doc_of] * sigma
-        gw = np.bincount(index, g[sentence_of], len(w)) + decay * len(toxic) * w
+        gw, gb = decay * n * w, 0.0
+        for bag in bags:
+            part = bag.gradient(w, bias)
+            gw, gb = gw + part[0], gb + part[1]
         step += gw * gw
         pace = rate / np.sqrt(step)
         w -= pace * gw
-        w = np.sign(w) * np.maximum(0, np.abs(w) - pace * sparsity * len(toxic))
-        gb = g.sum()
+        w = np.sign(w) * np.maximum(0, np.abs(w) - pace * sparsity * n)
         bias_step += gb * gb
         bias -= rate * gb / math.sqrt(bias_step)
     strong = np.abs(w) > 1e-4
     return Model(float(bias), dict(zip(vocabulary[strong].tolist(), w[strong].tolist())))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return train(*sample_features(docs, labels, sample))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    return train(*sample_features(docs, labels, sample, most_bytes))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
