@@ -6,8 +6,12 @@ clockwise from it. A shard is full once it holds (1 + slack) times the mean
 load in bytes; arcs that no longer fit continue clockwise to the next shard
 that they have not tried. Inside a shard, arcs that came in an earlier round
 keep their place, and larger arcs go first, so those that move on are small and
-fill the other shards evenly. Adding a shard therefore moves what its points
-take over plus the small overflow.
+fill the other shards evenly. Rounds go on until every arc has a place. If a
+full turn of the ring places nothing more, the slack is doubled, so the bound
+that holds in the end is the smallest of slack, 2 slack, 4 slack ... that has
+room for all: a load that no shard can take within the slack (an arc above the
+mean, say) raises the bound for the arcs still without a place and for nothing
+else. Adding a shard moves what its points take over plus the overflow.
 
 Everything sequential runs on one row per arc (at most `arcs` rows, whatever
 the input); documents are read once for the arc totals and once for the
@@ -16,8 +20,8 @@ functions only.
 
 The law that holds is `bytes`: no shard exceeds (1 + slack) times the mean
 while arcs are small against a shard. Defined results: a null text has size 1
-and CRC 0. Rows without doc_id share one arc. Rows that share a doc_id go to
-the same shard. An empty table gives an empty result; extra columns are ignored.
+and CRC 0. Rows without doc_id are placed by their text. Rows that share a
+doc_id go to the same shard. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldstone.llm.shared import stage
+from foldstone.llm.shared import release, stage
 
 SHARDS, VIRTUAL, ARCS, SLACK = 8, 64, 1 << 14, 0.002
 
@@ -51,30 +55,38 @@ def ring_order(spark: SparkSession, shards: int, virtual: int, arcs: int) -> Dat
 def place_arcs(loads: DataFrame, shards: int, virtual: int, arcs: int, slack: float) -> DataFrame:
     """(arc, shard). loads: (arc, load), at most `arcs` rows."""
     spark = loads.sparkSession
-    room = loads.agg((F.sum("load") * F.lit((1 + slack) / shards)).alias("room"))
+    room = loads.agg((F.sum("load") / F.lit(shards)).alias("mean"))
     placed = (
         loads.join(ring_order(spark, shards, virtual, arcs), "arc").crossJoin(F.broadcast(room))
         .withColumn("try", F.lit(0)).withColumn("since", F.lit(0))
     )
-    for turn in range(1, 2 * shards):
+    turn, waiting, stuck = 0, None, 0
+    while True:
+        turn += 1
         held = Window.partitionBy("shard").orderBy("since", F.desc("load"), "arc").rowsBetween(Window.unboundedPreceding, 0)
-        placed = placed.withColumn("shard", F.get("tries", F.col("try") % shards)).withColumn("upto", F.sum("load").over(held))
-        moves = F.col("upto") > F.col("room")
-        placed = stage(
-            placed.withColumn("try", F.col("try") + F.when(moves, 1).otherwise(0)).withColumn("since", F.when(moves, F.lit(turn)).otherwise(F.col("since"))).drop("shard", "upto"),
+        tried = placed.withColumn("shard", F.get("tries", F.col("try") % shards)).withColumn("upto", F.sum("load").over(held))
+        moves = F.col("upto") > F.col("mean") * (1 + slack)
+        moved = stage(
+            tried.withColumn("try", F.col("try") + F.when(moves, 1).otherwise(0)).withColumn("since", F.when(moves, F.lit(turn)).otherwise(F.col("since"))).drop("shard", "upto"),
             "ring",
         )
-        if not placed.where(F.col("since") == turn).limit(1).count():
-            break
-    # what fits nowhere (an arc larger than the room left in any shard) stays with the shard it has come to
-    return placed.select("arc", F.get("tries", F.col("try") % shards).alias("shard"))
+        if turn > 1:
+            release(placed)
+        placed, before = moved, waiting
+        waiting = placed.where(F.col("since") == turn).count()
+        if not waiting:
+            return placed.select("arc", F.get("tries", F.col("try") % shards).alias("shard"))
+        # what found a place keeps it, so a full turn of the ring in which nothing does can only repeat itself
+        stuck = stuck + 1 if waiting == before else 0
+        if stuck >= shards:
+            slack, stuck = 2 * slack + 1e-6, 0
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, arcs: int = ARCS, slack: float = SLACK) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot)"""
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = stage(
-        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(arcs)).alias("arc")),
+        docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("text"), text)).otherwise(F.xxhash64("doc_id")), F.lit(arcs)).alias("arc")),
         "shard-sizes",
     )
     loads = stage(sized.groupBy("arc").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n")), "ring-loads")

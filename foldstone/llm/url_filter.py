@@ -2,10 +2,11 @@
 
 A listed URL is a canonical key, host and path. A page's probes are the keys
 that could list it: each suffix of its host at a dot, with each prefix of its
-path as long as some listed path. The probes' hashes meet a blocked Bloom
-filter (one 512-bit block per key, built by a distributed bit_or and broadcast;
-its size is a parameter, so it is bounded whatever the list). Possible hits go
-on to a hash join with the list itself, which removes false positives; the
+path up to the longest listed one. A probe's hash is made of a running sum over
+the path and one over the host from its end, so all prefixes and suffixes cost
+one pass each, however many lengths the list has. The probes meet a blocked
+Bloom filter (bounded in size whatever the list, see `bloom`); possible hits go
+on to a hash join with the list itself, which removes false positives, and the
 longest listed key decides. A page without possible hits never meets the list.
 
 A fuller list raises only the share of pages that reach the join, never the
@@ -14,7 +15,8 @@ a broadcast of the list when Spark has measured it as small).
 
 Defined results: a null URL, or one without "://", has an empty host and path
 and no rule. Repeated rows give one result each. Rules with an equal key: the
-smaller verdict wins (allow before block). An empty list gives the default
+smaller verdict wins (allow before block); a rule without host, path or verdict
+is none. An empty list gives the default
 verdict, an empty table an empty result. Extra columns are ignored.
 """
 
@@ -23,13 +25,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 512-bit blocks of eight 64-bit words; one bit in each word.
-BLOCKS = 1 << 13
-MOST_LENGTHS = 256
+from foldstone.llm import bloom
+from foldstone.llm.shared import arrow_rows, stage
+
+#: Probes that are looked up at a time.
+PROBES = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
@@ -44,64 +47,71 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _block(h):
-    return F.pmod(F.shiftrightunsigned(h, 48), F.lit(BLOCKS))
+def _avalanche(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _running(text: str, seed: int) -> np.ndarray:
+    """n + 1 hashes, of the first 0, 1, ... n code points."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    weights = _avalanche((np.arange(len(points), dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * weights)))
 
 
-def bloom_words(hashes: DataFrame) -> np.ndarray:
-    """(BLOCKS, 8) uint64, from a column h; at most BLOCKS rows reach the driver."""
-    words = [F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {6 * i}) & 63 AS INT)))").alias(f"w{i}") for i in range(8)]
-    filled = np.zeros((BLOCKS, 8), np.int64)
-    for row in hashes.groupBy(_block(F.col("h")).alias("b")).agg(*words).collect():
-        filled[row[0]] = row[1:]
-    return filled.view(np.uint64)
+def _joint(host: np.ndarray, path: np.ndarray) -> np.ndarray:
+    return _avalanche(path + _avalanche(host))
 
 
-def _maybe(words: np.ndarray, signed: np.ndarray) -> np.ndarray:
-    h = signed.view(np.uint64)
-    block = words[(h >> np.uint64(48)) % np.uint64(BLOCKS)]
-    bit = h[:, None] >> np.uint64(6) * np.arange(8, dtype=np.uint64) & np.uint64(63)
-    return ((block >> bit) & np.uint64(1)).all(axis=1)
+def key_hash(host: str, path: str) -> int:
+    """Signed 64-bit hash of a listed key; equal to that of the probe with this suffix and prefix."""
+    return int(_joint(_running(host[::-1], 1)[-1:], _running(path, 1 << 32)[-1:]).view(np.int64)[0])
+
+
+def possible_hits(words: np.ndarray, host: str, path: str) -> Iterator[tuple[int, int]]:
+    """(characters of the host's suffix, of the path's prefix) of the probes that the filter does not rule out."""
+    tails = _running(host[::-1], 1)
+    sizes = np.array([len(host), *(len(host) - i - 1 for i, c in enumerate(host) if c == ".")])
+    heads = _running(path, 1 << 32)
+    step = max(1, PROBES // len(heads))
+    for start in range(0, len(sizes), step):
+        some = sizes[start : start + step]
+        hit = bloom.maybe(words, _joint(tails[some][:, None], heads[None, :]).ravel())
+        for at in np.flatnonzero(hit).tolist():
+            yield int(some[at // len(heads)]), at % len(heads)
 
 
 def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict). listed: (host, path, verdict) of canonical URLs or prefixes."""
     spark = pages.sparkSession
-    listed = listed.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").where("host is not null and path is not null")
-    listed = listed.groupBy(F.concat_ws("\n", "host", "path").alias("key"), F.concat("host", "path").alias("rule"), F.char_length("path").alias("n")).agg(F.min("verdict").alias("verdict"))
-    lengths = sorted(r[0] for r in listed.select("n").distinct().limit(MOST_LENGTHS + 1).collect())
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"listed paths have more than {MOST_LENGTHS} lengths")
-    bloom = spark.sparkContext.broadcast(bloom_words(listed.select(F.xxhash64("key").alias("h"))))
-
-    @F.pandas_udf("array<boolean>")
-    def possible(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in hashes:
-            sizes = batch.map(len).to_numpy()
-            hit = _maybe(bloom.value, np.concatenate([*batch, np.empty(0, np.int64)]).astype(np.int64))
-            ends = np.cumsum(sizes)
-            yield pd.Series([hit[e - n : e] for n, e in zip(sizes, ends)])
-
-    sized = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("path"))
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    probes = F.flatten(F.transform(suffixes, lambda s: F.transform(sized, lambda n: F.concat_ws("\n", s, F.substring(F.col("path"), F.lit(1), n)))))
-    probed = (
-        pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-        .withColumn("probes", probes)
-        .withColumn("maybe", possible(F.transform("probes", lambda p: F.xxhash64(p))))
-        .withColumn("probes", F.filter("probes", lambda p, i: F.get(F.col("maybe"), i)))
-        .drop("maybe")
-        .withColumn("row", F.monotonically_increasing_id())
-        # a page without possible hits keeps one row, whose key is in no list and unlike any other
-        .withColumn("probe", F.explode(F.when(F.size("probes") > 0, F.col("probes")).otherwise(F.array(F.concat(F.lit("\n\n"), F.col("row"))))))
-    )
-    found = probed.join(listed, F.col("probe") == F.col("key"), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.char_length("rule").alias("n"), "rule", "verdict")))
-    return (
-        found.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
-        .select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    listed = listed.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").where("host is not null and path is not null and verdict is not null")
+    listed = stage(listed.groupBy("host", "path").agg(F.min("verdict").alias("verdict")), "url-list")
+
+    def hashes(each: Iterator[dict]) -> Iterator[tuple]:
+        for row in each:
+            yield (key_hash(row["host"], row["path"]),)
+
+    words = spark.sparkContext.broadcast(bloom.filter_words(arrow_rows(listed.select("host", "path"), "h long", hashes, 16384)))
+    longest = listed.agg(F.coalesce(F.max(F.char_length("path")), F.lit(0))).first()[0]
+
+    def probed(each: Iterator[dict]) -> Iterator[tuple]:
+        for page in each:
+            yield page["page_id"], page["host"], page["path"], [{"h": h, "p": p} for h, p in possible_hits(words.value, page["host"], page["path"][:longest])]
+
+    split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, hits array<struct<h:int,p:int>>"
+    asked = stage(arrow_rows(split, schema, probed, 4096).withColumn("row", F.monotonically_increasing_id()), "url-probes")
+    none = asked.where(F.size("hits") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    probes = asked.where(F.size("hits") > 0).select("row", "page_id", F.col("host").alias("own_host"), F.col("path").alias("own_path"), F.explode("hits").alias("hit"))
+    keyed = probes.select("row", "page_id", "own_host", "own_path", F.when(F.col("hit.h") > 0, F.expr("right(own_host, hit.h)")).otherwise("").alias("host"), F.expr("left(own_path, hit.p)").alias("path"))
+    rule = F.concat("host", "path")
+    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.char_length(rule).alias("n"), rule.alias("rule"), "verdict")))
+    decided = (
+        keyed.join(listed, ["host", "path"], "left").groupBy("row", "page_id", "own_host", "own_path").agg(best.alias("best"))
+        .select("page_id", F.col("own_host").alias("host"), F.col("own_path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )
+    return none.unionByName(decided)
 
 
 def rule_list(spark: SparkSession, rules=RULES) -> DataFrame:
