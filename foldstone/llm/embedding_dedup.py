@@ -2,14 +2,21 @@
 
 Cosine >= t between unit vectors is a distance of at most eps = sqrt(2 - 2t).
 The leading principal directions are fitted on a bounded sample (SAMPLE rows);
-they are orthonormal, so distances along them never exceed true distances and
-any basis is safe. Vectors are sorted by their grid cells of side eps on these
-directions and cut into blocks of consecutive rows. The join recurses over
-intervals of that sequence: a pair of intervals whose bounding boxes lie
-further apart than eps is skipped with all it contains, others are split. The
-upper levels run on a table of one row per block; surviving block pairs meet
-in one task each and go on recursing down to small matrix products in double
-precision. Every vector is indexed, so recall is 1.
+they are orthonormal, so distances along them, together with the difference of
+what remains of the two norms, never exceed true distances and any basis is
+safe. Vectors are sorted by their grid cells of side eps on these directions
+and cut into blocks of consecutive rows. The join recurses over intervals of
+that sequence: a pair of intervals whose bounding boxes lie further apart than
+eps is skipped with all it contains, others are split. The upper levels run on a
+table of one row per block; surviving block pairs meet in one task each and go
+on recursing down to LEAF vectors, which are multiplied in single precision;
+what comes within its error of the threshold is decided in double precision.
+Every vector is indexed, so recall is 1.
+
+Where vectors form clusters nearly all pairs of intervals are skipped. Where they
+fill all dimensions alike, no box is far from another and every pair of blocks
+is multiplied out; a block then holds as many rows as BLOCK_BYTES allow, so
+each vector is shuffled once per block and the products outweigh the shuffle.
 
 Equal vectors are grouped first and stand as one row with a count, so a group
 of copies costs one row. A task returns one row per linked vector: its number
@@ -26,63 +33,88 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldstone.llm.components import components, local_roots
 from foldstone.llm.shared import stage
 
-#: SAMPLE bounds the rows that the principal directions are fitted on.
-SAMPLE, DIRECTIONS, BLOCK, LEAF, FAN_OUT = 8192, 8, 8192, 512, 8
+#: SAMPLE bounds the rows that the principal directions are fitted on; the last coordinate is the norm off all DIRECTIONS.
+SAMPLE, DIRECTIONS, LEAF, FAN_OUT = 8192, 15, 512, 8
+#: Vectors of a block in double precision, and rows that a block holds at least.
+BLOCK_BYTES, LEAST_ROWS = 32 << 20, 4096
 
 
-def _unit(vectors) -> np.ndarray:
-    x = np.array([*vectors], np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     # scaled first: the square of a large or tiny component leaves the range of a double
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _by_length(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix) of the vectors of each length, from the Arrow buffers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes, values = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield at, values.reshape(-1, d) if len(at) == len(sizes) else values[starts[at][:, None] + np.arange(d)]
+
+
 def _directions(distinct: DataFrame) -> np.ndarray:
     """(dimensions, DIRECTIONS) orthonormal columns, for the commonest length in the sample."""
-    sample = [r[0] for r in distinct.orderBy("h1", "h2").limit(SAMPLE).select("embedding").collect()]
-    if not sample:
+    sample = distinct.orderBy("h1", "h2").limit(SAMPLE).select("embedding").toArrow().column(0)
+    if not len(sample):
         return np.zeros((0, 0))
-    lengths = [len(v) for v in sample]
-    common = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    x = _unit(v for v in sample if len(v) == common)
-    _, axes = np.linalg.eigh(np.cov(x.T).reshape(common, common) if len(x) > 1 else np.eye(common))
+    _, x = max(_by_length(sample), key=lambda found: found[1].shape)
+    x = _unit(x)
+    _, axes = np.linalg.eigh(np.cov(x.T).reshape(x.shape[1], x.shape[1]) if len(x) > 1 else np.eye(x.shape[1]))
     return np.ascontiguousarray(axes[:, ::-1][:, :DIRECTIONS])
 
 
+def block_rows(n: int, dimensions: int, tasks: int) -> int:
+    """Rows of a block: enough pairs of blocks for the tasks, no more rows than fit BLOCK_BYTES."""
+    return max(1, min(BLOCK_BYTES // (8 * max(1, dimensions)), max(LEAST_ROWS, n // math.isqrt(4 * tasks + 1))))
+
+
 def _grid_order(distinct: DataFrame, eps: float) -> DataFrame:
-    """distinct with its projections `p` and `block`, consecutive in grid order, and a `node` number."""
+    """distinct with its coordinates `p` and `block`, consecutive in grid order, and a `node` number."""
     spark = distinct.sparkSession
     axes = spark.sparkContext.broadcast(_directions(distinct))
+    n, dimensions = distinct.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    rows = block_rows(n, dimensions or 1, spark.sparkContext.defaultParallelism)
 
-    @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        out = np.zeros((len(vectors), DIRECTIONS))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = axes.value
-        fit = vectors.map(len).to_numpy() == len(a)
-        if fit.any():
-            out[fit, : a.shape[1]] = _unit(vectors[fit]) @ a
-        return pd.Series(list(out))
-
-    placed = distinct.withColumn("p", project("embedding")).withColumn("cells", F.transform("p", lambda x: F.floor(x / eps)))
-    n = max(1, distinct.count() // BLOCK)
-    ordered = placed.repartitionByRange(n, "cells", "p", "h1", "h2").sortWithinPartitions("cells", "p", "h1", "h2")
+        for batch in batches:
+            out = np.zeros((batch.num_rows, DIRECTIONS + 1))
+            for at, x in _by_length(batch.column("embedding")) if batch.num_rows else ():
+                if x.shape[1] == len(a):
+                    x = _unit(x)
+                    out[at, : a.shape[1]] = x @ a
+                    rest = x - out[at, : a.shape[1]] @ a.T
+                    out[at, DIRECTIONS] = np.sqrt((rest * rest).sum(1))
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (DIRECTIONS + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))], names=[*batch.schema.names, "p"])
+
+    schema = T.StructType([*distinct.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType()))])
+    cells = F.transform("p", lambda x: F.floor(x / eps))
+    ordered = distinct.mapInArrow(placed, schema).withColumn("cells", cells)
+    ordered = ordered.repartitionByRange(max(1, -(-n // rows)), "cells", "p", "h1", "h2").sortWithinPartitions("cells", "p", "h1", "h2")
     ordered = stage(ordered.drop("cells").withColumn("node", F.monotonically_increasing_id()), "grid-order")
     part = F.shiftrightunsigned("node", 33)
     sizes = ordered.groupBy(part.alias("part")).count()  # one row per partition
     first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("part", F.coalesce(F.sum("count").over(first), F.lit(0)).alias("first"))
     rank = F.col("first") + F.col("node").bitwiseAND((1 << 33) - 1)
-    return stage(ordered.withColumn("part", part).join(sizes, "part").withColumn("block", F.floor(rank / BLOCK)).drop("part", "first"), "grid-blocks")
+    return ordered.withColumn("part", part).join(sizes, "part").withColumn("block", F.floor(rank / rows)).drop("part", "first")
 
 
 def _apart(a: str, b: str):
@@ -95,7 +127,8 @@ def _apart(a: str, b: str):
 
 
 def _box(lo, hi):
-    return F.struct(F.array(*[F.min(lo(i)) for i in range(DIRECTIONS)]).alias("lo"), F.array(*[F.max(hi(i)) for i in range(DIRECTIONS)]).alias("hi")).alias("box")
+    each = range(DIRECTIONS + 1)
+    return F.struct(F.array(*[F.min(lo(i)) for i in each]).alias("lo"), F.array(*[F.max(hi(i)) for i in each]).alias("hi")).alias("box")
 
 
 def block_pairs(ordered: DataFrame, eps: float) -> DataFrame:
@@ -121,6 +154,8 @@ def _join_intervals(x, px, y, py, same: bool, least: float, reach: float):
     """Index pairs with dot product >= least, by recursion over both sequences; i < j where same."""
     found = []
     todo = [(0, len(x), 0, len(y))]
+    single = [v.astype(np.float32) for v in ([x] if same else [x, y])]
+    near = np.float32(least - (x.shape[1] + 8) * 2.0**-23)  # dot products of unit vectors in single precision err by less
     while todo:
         i, ie, j, je = todo.pop()
         if i == ie or j == je or same and j + 1 >= je and i >= j:
@@ -130,11 +165,14 @@ def _join_intervals(x, px, y, py, same: bool, least: float, reach: float):
         if gap @ gap > reach:
             continue
         if ie - i <= LEAF and je - j <= LEAF:
-            u, v = np.nonzero(x[i:ie] @ y[j:je].T >= least)
-            u, v = u + i, v + j
+            at = np.flatnonzero(single[0][i:ie] @ single[-1][j:je].T >= near)
+            u, v = at // (je - j) + i, at % (je - j) + j
             if same:
                 u, v = u[u < v], v[u < v]
-            found.append((u, v))
+            for start in range(0, len(u), 4 * LEAF):
+                p, q = u[start : start + 4 * LEAF], v[start : start + 4 * LEAF]
+                sure = np.einsum("ij,ij->i", x[p], y[q]) >= least
+                found.append((p[sure], q[sure]))
             continue
         im, jm = ((i + ie) // 2, (j + je) // 2) if ie - i > LEAF and je - j > LEAF else ((i + ie) // 2, je) if ie - i > LEAF else (ie, (j + je) // 2)
         todo += [(p, pe, q, qe) for p, pe in ((i, im), (im, ie)) for q, qe in ((j, jm), (jm, je)) if not same or p < qe - 1]
@@ -146,21 +184,18 @@ def near_vectors(ordered: DataFrame, pairs: DataFrame, cosine: float) -> DataFra
     reach = (2 - 2 * cosine) * (1 + 1e-6) + 1e-9
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        column = lambda name: table.column(name).to_numpy(zero_copy_only=False)
+        table = table.sort_by("node").combine_chunks()
+        column = lambda name: table.column(name).to_numpy()
         right, node, n = column("right"), column("node"), column("n")
-        vectors, p = table.column("embedding").to_pylist(), np.array(table.column("p").to_pylist())
-        dims = np.array([len(v) for v in vectors])
-        links, low = np.zeros(len(node), np.int64), np.arange(len(node))
+        p = table.column("p").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        links = np.zeros(len(node), np.int64)
         ends: list[list[np.ndarray]] = [[], []]
-        for d in np.unique(dims):
-            same = not right.any()
-            left_at = np.flatnonzero((dims == d) & ~right)
-            right_at = left_at if same else np.flatnonzero((dims == d) & right)
-            if not len(left_at) or not len(right_at):
-                continue
-            x = _unit(vectors[i] for i in left_at)
-            y = x if same else _unit(vectors[i] for i in right_at)
+        for at, vectors in _by_length(table.column("embedding")):
+            here = _unit(vectors)
+            left = ~right[at]
+            same = bool(left.all()) and not right.any()
+            left_at, x = at[left], here[left]
+            right_at, y = (left_at, x) if same else (at[~left], here[~left])
             i, j = _join_intervals(x, p[left_at], y, p[right_at], same, cosine, reach)
             i, j = left_at[i], right_at[j]
             np.add.at(links, i, n[j])

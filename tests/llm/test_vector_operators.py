@@ -33,7 +33,8 @@ def brute_links(rows, least):
 
 
 def test_near_duplicates_by_brute_force_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "LEAST_ROWS", 32)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 32 * 12 * 8)
     monkeypatch.setattr(embedding_dedup, "LEAF", 8)
     r = np.random.default_rng(4)
     base = r.normal(size=(40, 12))
@@ -45,6 +46,31 @@ def test_near_duplicates_by_brute_force_over_many_blocks(spark, monkeypatch):
         assert (found[i].n_links, found[i].component_id, found[i].kept) == (links[k], rows[root[k]][0], rows[root[k]][0] == i)
 
 
+def test_most_interval_pairs_of_clustered_vectors_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAST_ROWS", 64)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 64 * 24 * 8)
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(30, 24))
+    rows = [(i, v) for i, v in enumerate((centres[np.arange(2400) % 30] + r.normal(scale=0.04, size=(2400, 24))).tolist())]
+    seen, own = [], embedding_dedup.block_pairs
+
+    def counted(ordered, eps):
+        pairs = own(ordered, eps)
+        seen.append((ordered.select("block").distinct().count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(embedding_dedup, "block_pairs", counted)
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {x.component_id for x in found} == set(range(30)) and all(x.n_links == 79 for x in found)
+    blocks, pairs = seen[0]
+    assert blocks >= 35 and pairs < 0.45 * blocks * (blocks + 1) / 2
+
+
+def test_vectors_that_fill_all_dimensions_are_shuffled_once_per_large_block():
+    assert embedding_dedup.block_rows(50_000, 64, 6) == 10_000
+    assert embedding_dedup.block_rows(10**9, 64, 4000) == 65_536
+
+
 def test_near_duplicates_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (8, [1e30, 0.0]), (9, [1e-30, 0.0]), (9, [1.0, 0.0]), (10, [1.0]), (None, [1.0, 0.01]), (11, [-1.0, 0.0])]
