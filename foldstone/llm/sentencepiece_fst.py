@@ -3,23 +3,28 @@
 The model file is compiled into one transducer over code points, in the
 tropical semiring:
 
-- normaliser: a dummy prefix and white space escaped to U+2581;
-- pieces: an arc per piece, from its text to its id;
-- byte fallback: an arc per code point that no piece covers, to its byte ids.
-
-For a unigram model an arc weighs minus its piece's score and the shortest path
-is the encoding. For a BPE model the encoding is the one path all of whose
-neighbouring pieces are stable (merging their joint text by the model's scores
-gives the two pieces back); arcs between other neighbours weigh infinity, and
-each prefix of the input then has exactly one path of finite weight, so one
-state per position suffices and a search for any finite path finds the shortest.
-Stability of a pair is worked out once and kept.
+- normaliser: a dummy prefix, and in every state the arc that reads U+2581 also
+  reads a space;
+- pieces: a chain of arcs per piece (shared beginnings share states) into a
+  final state that carries the piece's id and weight and goes back to the start;
+- byte fallback: from the start, an arc per code point that no piece covers,
+  into a final state with its byte ids.
+
+An input is composed with it lazily and the shortest path is found best first:
+the lightest open arc is taken, of equally light ones the one that reaches
+furthest. For a unigram model an arc weighs minus its piece's score. For a BPE
+model the encoding is the one path all of whose neighbouring pieces are stable
+(merging their joint text by the model's scores gives the two pieces back): arcs
+between other neighbours weigh infinity and all others nothing, and each prefix
+of the input then has exactly one path of finite weight, so one state per
+position suffices. Stability of a pair is worked out once and kept.
 
 No piece has U+2581 behind another character, so the input is cut before each
 run of it (and around line feeds, which no piece holds) and the composition is
 done per part; parts repeat, and a bounded cache keeps their ids. A part not met
-lately is cut further, between characters that no piece holds next to each other. All state is
-per task and bounded. The vocabulary's path is a parameter.
+lately is cut further, between characters that no piece holds next to each other.
+A position is left by arcs no longer than the longest piece, so time is linear in
+the text. All state is per task and bounded. The vocabulary's path is a parameter.
 
 Defined results: a null or empty text has no ids and decodes to the empty text.
 Texts of any length are taken whole. Decoding gives the normalised text: U+2581
@@ -31,6 +36,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import os
 import re
@@ -38,14 +44,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/piece_bpe_32k.model"
 SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
-_FINAL = ""  # marks a state in which a piece ends
+_CUT = "\x00"  # between parts; texts that hold it are cut by the general pattern
+_FINAL = ""  # of a final state: its ids and weight
+_SLICE_BYTES = 8 << 20
 _PARTS, _PAIRS, _LONG = 1 << 17, 1 << 17, 64
 
 
@@ -60,18 +70,24 @@ class Transducer:
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == _UNKNOWN), 0)
         #: Neighbouring characters inside some piece.
         self.inner = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        self.penalty = 10 - min(self.scores.values(), default=0.0)
         self.start: dict = {}
-        for piece in self.ids:
+        for piece, i in self.ids.items():
             state = self.start
             for c in piece:
-                state = state.setdefault(c, {})
-            state[_FINAL] = True
-        self.penalty = min(self.scores.values(), default=0.0) - 10
+                if c not in state:
+                    state[c] = {}
+                    if c == SPACE:
+                        state[" "] = state[c]
+                state = state[c]
+            state[_FINAL] = (i.to_bytes(4, "little"), -self.scores[piece] if kind == _UNIGRAM else 0.0)
         holds_feed = any("\n" in p for p in self.ids)
         cut_ok = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.plain = cut_ok and not holds_feed
         self.parts = re.compile((f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if holds_feed else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n") if cut_ok else r"(?s).+")
         self.out = [bytes([int(p[3:5], 16)]) if t == _BYTE else b"" if t == _CONTROL else p.replace(SPACE, " ").encode() for p, _, t in pieces]
-        self._part: dict[str, bytes] = {}
+        self.decoded = pa.array(self.out, pa.binary())
+        self._part: dict[str, bytes] = {"": b""}
         self._before: dict[str, bytes] = {}
         self._stable: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}  # of pieces and single characters
@@ -93,21 +109,28 @@ class Transducer:
             raise ValueError("only unigram and BPE models with white space as a prefix are compiled")
         return cls(kind, [(p.piece, p.score, p.type) for p in model.pieces], rules.add_dummy_prefix)
 
-    def normalise(self, text: str) -> str:
-        return (" " + text if self.dummy_prefix else text).replace(" ", SPACE) if text else ""
-
     def encode(self, text: str | None) -> np.ndarray:
-        known, out = self._part, []
-        for part in self.parts.findall(self.normalise(text or "")):
-            ids = known.get(part)
-            if ids is None:
-                ids = self._cut(part)
-                known = self._part
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        if not text:
+            return np.empty(0, np.int32)
+        parts = self._split(" " + text if self.dummy_prefix else text)
+        ids = list(map(self._part.get, parts))
+        if None in ids:
+            ids = [self._part.get(part) or self._cut(part) if found is None else found for part, found in zip(parts, ids)]
+        return np.frombuffer(b"".join(ids), np.int32)
+
+    def _split(self, text: str) -> list[str]:
+        if not self.plain or _CUT in text or SPACE in text:
+            return self.parts.findall(text.replace(" ", SPACE))
+        text = text.replace(" ", _CUT + SPACE)
+        while SPACE + _CUT + SPACE in text:
+            text = text.replace(SPACE + _CUT + SPACE, SPACE * 2)
+        return text.replace("\n", f"{_CUT}\n{_CUT}").split(_CUT)
 
     def _cut(self, part: str) -> bytes:
         """A part not met lately: cut wherever no piece holds the two neighbouring characters, so no path crosses."""
+        if (ids := self._before.get(part)) is not None:
+            self._keep(part, ids)
+            return ids
         inner = self.inner
         cuts = [0, *(i for i, pair in enumerate(zip(part, part[1:]), 1) if pair not in inner), len(part)]
         ids = self._ids(part) if len(cuts) == 2 else b"".join([self._ids(part[a:b]) for a, b in zip(cuts, cuts[1:])])
@@ -117,77 +140,61 @@ class Transducer:
     def _ids(self, part: str) -> bytes:
         ids = self._part.get(part) or self._before.get(part)
         if ids is None:
-            ids = np.fromiter(self._labels(self.shortest(part)), np.int32).tobytes()
+            ids = b"".join(self.shortest(part))
         self._keep(part, ids)
         return ids
 
     def _keep(self, part: str, ids: bytes) -> None:
         if len(part) <= _LONG:
             if len(self._part) >= _PARTS:  # the older half goes, frequent parts have moved to the newer one
-                self._before, self._part = self._part, {}
+                self._before, self._part = self._part, {"": b""}
             self._part[part] = ids
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
+        return self._text(b"".join(map(self.out.__getitem__, ids)))
+
+    def decode_lists(self, lists: pa.ListArray) -> list[str]:
+        held = pa.ListArray.from_arrays(lists.offsets, self.decoded.take(lists.values))
+        return list(map(self._text, pc.binary_join(held, b"").to_pylist()))
+
+    def _text(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
-    def shortest(self, part: str) -> list[str]:
-        """The pieces on the shortest path that reads `part`; a code point without a piece stands for itself."""
-        return self._lightest(part) if self.kind == _UNIGRAM else self._only_finite(part)
-
-    def _arcs(self, part: str, start: int) -> list[int]:
-        """Where the arcs that leave `start` end, ascending."""
-        state, end, ends = self.start, start, []
-        if part[start] not in self.ids:
-            ends.append(start + 1)
-        for c in part[start:]:
-            state = state.get(c)
-            if state is None:
-                break
-            end += 1
-            if _FINAL in state:
-                ends.append(end)
-        return ends
-
-    def _lightest(self, part: str) -> list[str]:
-        """Relaxation in topological order."""
-        n = len(part)
-        cost, back = [math.inf] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        for start in range(n):
-            for end in self._arcs(part, start):
-                weight = cost[start] - self.scores.get(part[start:end], self.penalty)
-                if weight < cost[end]:
-                    cost[end], back[end] = weight, start
+    def _fallback(self, point: str) -> bytes:
+        ids = [self.bytes[b] for b in point.encode()] if self.bytes else [self.unknown]
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
+    def shortest(self, text: str) -> list[bytes]:
+        """The ids along the shortest path that reads `text`, best first over (weight so far, furthest end)."""
+        n, bpe, stable, pieces, push = len(text), self.kind == _BPE, self._stable, self.ids, heapq.heappush
+        fallback = 0.0 if bpe else self.penalty
+        came: dict[int, tuple[int, bytes]] = {}  # of settled positions: where their arc starts, and its ids
+        heap = [(0.0, 0, 0, b"")]
+        while n not in came:
+            cost, end, start, ids = heapq.heappop(heap)
+            end = -end
+            if end in came:
+                continue
+            if start and bpe:
+                pair = text[came[start][0] : start], text[start:end]
+                if not (self._is_stable(*pair) if (known := stable.get(pair)) is None else known):
+                    continue
+            came[end] = start, ids
+            # the arcs that leave this position: the states that the text leads through
+            if end < n and text[end] not in pieces:
+                push(heap, (cost + fallback, -end - 1, end, self._fallback(text[end])))
+            state, at = self.start, end
+            while at < n and (state := state.get(text[at])) is not None:
+                at += 1
+                if (final := state.get(_FINAL)) and at not in came:
+                    push(heap, (cost + final[1], -at, end, final[0]))
         path, at = [], n
         while at:
-            path.append(part[back[at] : at])
-            at = back[at]
+            at, ids = came[at]
+            path.append(ids)
         return path[::-1]
 
-    def _only_finite(self, part: str) -> list[str]:
-        """Depth first, longest arc first. A position from which the end is not reached is not entered again:
-        it has one finite path from the start, so the way there does not matter."""
-        n, at, path, dead = len(part), 0, [], set()
-        open_arcs = [self._arcs(part, 0)]
-        while at < n:
-            arcs = open_arcs[-1]
-            while arcs:
-                end = arcs.pop()
-                if end not in dead:
-                    piece = part[at:end]
-                    if not path or self._is_stable(path[-1], piece):
-                        path.append(piece)
-                        at = end
-                        if at < n:
-                            open_arcs.append(self._arcs(part, at))
-                        break
-            else:
-                dead.add(at)
-                open_arcs.pop()
-                at -= len(path.pop())
-        return path
-
     def _is_stable(self, left: str, right: str) -> bool:
         found = self._stable.get((left, right))
         if found is None:
@@ -239,58 +246,59 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _labels(self, path: list[str]) -> Iterator[int]:
-        for piece in path:
-            if piece in self.ids:
-                yield self.ids[piece]
-            elif self.bytes:
-                yield from (self.bytes[b] for b in piece.encode())
-            else:
-                yield self.unknown
-
 
 def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], sized: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to `rows`, and to _SLICE_BYTES (or one row) of their column `sized`."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        column = batch.column(sized)
+        width = pc.binary_length(column) if pa.types.is_string(column.type) else pc.list_value_length(column)
+        upto, start = np.cumsum(pc.fill_null(width, 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < batch.num_rows:
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + _SLICE_BYTES, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text, ids array<int>)"""
+    """(doc_id, text, ids array<int>, ids_sha256: of the ids as little-endian 32-bit integers)"""
     compiled = docs.sparkSession.sparkContext.broadcast(Transducer.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled.value
-        for batch in _slices(batches):
-            ids = _list_array([t.encode(text) for text in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "text", "ids"])
+        for batch in _slices(batches, 1):
+            ids = [t.encode(text) for text in batch.column(1).to_pylist()]
+            digests = pa.array([hashlib.sha256(i.astype("<i4", copy=False)).hexdigest() for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list_array(ids), digests], names=["doc_id", "text", "ids", "ids_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>, ids_sha256 string")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded (doc_id, text, ids) with the digest columns: n_tokens, ids_sha256, decoded_sha256, round_trip."""
+    """encoded (any columns, ids array<int>) with the text `decoded`; null ids decode to the empty text."""
     compiled = encoded.sparkSession.sparkContext.broadcast(Transducer.load(model))
+    at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled.value
-        for batch in _slices(batches):
-            rows: list[list] = [[], [], [], []]
-            ids, ends = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                own = ids[ends[i] - ends[0] : ends[i + 1] - ends[0]]
-                back = t.decode(own.tolist())
-                for to, x in zip(rows, (len(own), hashlib.sha256(own.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == (text or "").replace(SPACE, " "))):
-                    to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), *map(pa.array, rows[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+        for batch in _slices(batches, at):
+            column = batch.column(at)
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))))
+            texts = t.decode_lists(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column.flatten()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+def digests(decoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip) of what encode and decode gave."""
+    normal = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == normal).alias("round_trip"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return digests(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))

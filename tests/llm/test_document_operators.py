@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -193,9 +194,26 @@ def test_sentencepiece_query(spark, sf_dir, library):
         assert r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
 
 
+def test_long_text_without_spaces_takes_linear_time(library):
+    t = sentencepiece_fst.Transducer.load(sentencepiece_fst.MODEL)
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    began = time.time()
+    ids = t.encode(text)
+    assert time.time() - began < 60
+    assert ids.tolist() == library.encode(text) and t.decode(ids.tolist()) == text
+
+
+def test_decode_gives_texts(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None), (3, "é▁\n\n  x")], "doc_id long, text string")
+    ids = sentencepiece_fst.encode(docs).select("doc_id", "ids", F.lit("clash").alias("n_tokens"))
+    ids = ids.union(spark.createDataFrame([(4, None, "")], "doc_id long, ids array<int>, n_tokens string"))
+    assert {r.doc_id: r.decoded for r in sentencepiece_fst.decode(ids).collect()} == {1: "some text", 2: "", 3: "é \n\n  x", 4: ""}
+
+
 def test_sentencepiece_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "▁ a"), (None, "x"), (4, "word " * 60000), (4, "y")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
-    out = {r.doc_id: r for r in sentencepiece_fst.decode(sentencepiece_fst.encode(docs)).collect()}
+    out = {r.doc_id: r for r in sentencepiece_fst.digests(sentencepiece_fst.decode(sentencepiece_fst.encode(docs))).collect()}
     assert out[1].n_tokens == out[2].n_tokens == 0 and all(r.round_trip for r in out.values())
     assert sentencepiece_fst.encode(docs.where("false")).count() == 0
 
