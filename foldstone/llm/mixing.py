@@ -9,16 +9,18 @@ corpus and taken until the total budget is spent, so every source runs out at
 about virtual time 1 and gets its target to within about one document.
 
 Prefix sums never gather a source in one task: a document falls into one of
-`slots` hash ranges of its source, range totals are summed first (one row per
+many hash ranges of its source, range totals are summed first (one row per
 source and range), and only the few documents of a range are ordered in a
-window. The global order is cut the same way: finish times fall into fixed
-ranges, the running total of at most `2 * times + 1` rows names the range in
-which the budget ends, and only that range is ordered. All built-in functions.
+window. The global order is cut the same way: finish times fall into ranges, a
+running total of the ranges names the one in which the budget ends, and only
+that range is ordered. The number of ranges follows the number of documents, so
+that about RANGE_ROWS fall into each. All built-in functions.
 
 Defined results: null or empty texts have size 0 and are never taken. A null
 source is a source of its own, ordered last. A source without words has target
-0. Rows that share a doc_id are ordered by their size; rows equal in both are
-ordered arbitrarily, which no result can tell. An empty table gives an empty
+0. Rows that share a doc_id are ordered by their size, rows without one by a
+hash of their text; rows equal in all of this are ordered arbitrarily, which no
+result can tell. An empty table gives an empty
 result; extra columns are ignored by `mix` and kept by `mixed_documents`.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from foldstone.llm.shared import stage
 
 WEIGHTS, BUDGET, MOST = (5, 2, 1), 1.5, 2
-SLOTS, TIMES = 1024, 4096
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 8192, 1 << 10, 1 << 24
 
 
 def word_count(text):
@@ -60,15 +62,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget: float, most
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most_repeats: int = MOST, slots: int = SLOTS, times: int = TIMES) -> DataFrame:
+def ranges_for(rows: int) -> int:
+    """A power of two, so that ranges of hashes are their leading bits."""
+    return min(MOST_RANGES, max(LEAST_RANGES, 1 << (rows // RANGE_ROWS).bit_length()))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most_repeats: int = MOST, ranges: int | None = None) -> DataFrame:
     """(doc_id, rk, size, source, source_size, target, taken); taken = size times the copies that the mix takes."""
-    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    slim = stage(
-        docs.select("doc_id", F.xxhash64("text").alias("rk"), "source", word_count(F.col("text")).alias("size"))
-        .withColumn("hash", shuffled)
-        .withColumn("slot", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % slots),
-        "mix",
-    )
+    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    slim = stage(docs.select("doc_id", F.xxhash64("text").alias("rk"), "source", word_count(F.col("text")).alias("size"), shuffled.alias("hash")), "mix")
+    ranges = ranges or ranges_for(slim.count())
+    slim = slim.withColumn("slot", F.shiftright(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long"), 32 - (ranges.bit_length() - 1)))
     by_slot = slim.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     by_slot = stage(by_slot.withColumn("slot_from", F.coalesce(F.sum("slot_size").over(before), F.lit(0))), "mix-slots")
@@ -84,12 +88,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
     )
     # every copy that ends by virtual time 1 is inside the budget; the cut lies in a range soon after it
     copies = queued.where("size > 0").select("doc_id", "size", "hash", "source", F.posexplode(F.array(*[F.col(f"finish{k}") for k in range(most_repeats)])).alias("copy", "finish"))
-    ranged = copies.withColumn("range", F.least(F.floor(F.col("finish") * times), F.lit(2 * times)))
-    ranges = ranged.groupBy("range").agg(F.sum("size").alias("n"))
+    ranged = copies.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)))
+    totals = ranged.groupBy("range").agg(F.sum("size").alias("n"))
     total = slim.agg((F.coalesce(F.sum("size"), F.lit(0)) * F.lit(float(budget))).alias("budget"))
     running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        ranges.withColumn("upto", F.sum("n").over(running)).crossJoin(F.broadcast(total)).where(F.col("upto") > F.col("budget"))
+        totals.withColumn("upto", F.sum("n").over(running)).crossJoin(F.broadcast(total)).where(F.col("upto") > F.col("budget"))
         .agg(F.min(F.struct("range", (F.col("upto") - F.col("n")).alias("spent"), "budget")).alias("e")).select("e.*")
     )  # one row: the range in which the budget ends
     order = Window.orderBy("finish", "hash", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
@@ -108,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGE
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), (F.col("taken") / F.col("size")).cast("int").alias("__n"), "size")
+    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), (F.col("taken") / F.col("size")).cast("int").alias("__n"))
     return _repeated(docs, taken)
 
 
@@ -127,7 +131,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS hash,
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS hash,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, source_size * 2.0::DOUBLE AS cap,
@@ -138,7 +142,7 @@ l AS (SELECT *, cap / w AS ratio,
              / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio)) AS target FROM l),
 q AS (SELECT d.*, source_size, target,
-             sum(size) OVER (PARTITION BY d.source ORDER BY CAST('0x' || substr(hash, 1, 8) AS BIGINT) % 1024, hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+             sum(size) OVER (PARTITION BY d.source ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT doc_id, hash, size, k AS copy, CAST(k * source_size + upto AS DOUBLE) / nullif(target, 0) AS finish
       FROM q, (VALUES (0), (1)) v(k) WHERE size > 0),

@@ -55,17 +55,19 @@ def ring_order(spark: SparkSession, shards: int, virtual: int, arcs: int) -> Dat
 def place_arcs(loads: DataFrame, shards: int, virtual: int, arcs: int, slack: float) -> DataFrame:
     """(arc, shard). loads: (arc, load), at most `arcs` rows."""
     spark = loads.sparkSession
-    room = loads.agg((F.sum("load") / F.lit(shards)).alias("mean"))
+    mean = loads.agg((F.sum("load") / F.lit(shards)).alias("mean"))
     placed = (
-        loads.join(ring_order(spark, shards, virtual, arcs), "arc").crossJoin(F.broadcast(room))
+        loads.join(ring_order(spark, shards, virtual, arcs), "arc").crossJoin(F.broadcast(mean))
         .withColumn("try", F.lit(0)).withColumn("since", F.lit(0))
     )
     turn, waiting, stuck = 0, None, 0
     while True:
         turn += 1
-        held = Window.partitionBy("shard").orderBy("since", F.desc("load"), "arc").rowsBetween(Window.unboundedPreceding, 0)
+        room = F.col("mean") * (1 + slack)
+        # an arc that is too large by itself does not keep those behind it waiting
+        held = Window.partitionBy("shard").orderBy("since", F.col("load") > room, F.desc("load"), "arc").rowsBetween(Window.unboundedPreceding, 0)
         tried = placed.withColumn("shard", F.get("tries", F.col("try") % shards)).withColumn("upto", F.sum("load").over(held))
-        moves = F.col("upto") > F.col("mean") * (1 + slack)
+        moves = F.col("upto") > room
         moved = stage(
             tried.withColumn("try", F.col("try") + F.when(moves, 1).otherwise(0)).withColumn("since", F.when(moves, F.lit(turn)).otherwise(F.col("since"))).drop("shard", "upto"),
             "ring",

@@ -6,7 +6,9 @@ has a posting list of the block's candidates, and the queries that carry the
 term scatter their weighted postings into dense score arrays. A partition
 selection keeps the k best of the block per query; a window over k rows per
 candidate block merges them. Nothing is broadcast and no result is dropped: a
-candidate outside its block's k best cannot be among the k best of all.
+candidate outside its block's k best cannot be among the k best of all. A
+candidate travels once per QUERY_BLOCK queries, so the products outweigh the
+shuffle by the number of queries in a block.
 
 Scores are integers: components become floor(scale * x), computed in doubles;
 values beyond 64 bits saturate and sums wrap, as Spark's long does.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from foldstone.llm.shared import stage
 
-QUERY_BLOCK, ROW_BLOCK, SLICE = 2048, 8192, 256
+QUERY_BLOCK, ROW_BLOCK, SLICE = 1 << 14, 8192, 256
 
 
 def quantised(vectors: DataFrame, scale: float) -> DataFrame:

@@ -1,16 +1,18 @@
 """Chat formatting, URL filters, toxicity, SentencePiece and the pipeline."""
 
 import hashlib
+import math
 import random
 import time
 import zlib
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foldstone.llm import chat, queries, sentencepiece_fst, toxicity, url_filter
+from foldstone.llm import bloom, chat, queries, sentencepiece_fst, toxicity, url_filter
 from tests import oracle
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -41,6 +43,37 @@ def conversations(seed):
     return rows + [(50, 3, None, None), (50, 4, "assistant", None), (51, 0, "system", "alone"), (None, 1, "user", "q"), (None, None, "assistant", "a"), (52, 1, "assistant", "z" * 200000), (52, 2, "assistant", "same"), (52, 2, "assistant", "same"), (53, 0, "a>b<c\\", "odd role")]
 
 
+def counted(text):
+    return -(-len(text.encode()) // 4) + chat.OVERHEAD
+
+
+def assert_within_budget(turns, n_context, span):
+    if sum(counted(t) for _, t in turns) > span:
+        assert len(turns) <= 2 and turns[0][0] == "system" or len(turns) == 1
+
+
+@pytest.mark.parametrize("sizes", [[1200] * 30, [300 * 4 - 16] * 9, [4, 400, 900, 1500, 90, 2100, 30] * 12, [0] * 2500])
+@pytest.mark.parametrize("system", [None, 0, 200])
+def test_windows_keep_their_budget(spark, sizes, system):
+    rows = [(1, t, "user" if t % 2 else "assistant", chr(97 + t % 26) * n) for t, n in enumerate(sizes, 1)]
+    if system is not None:
+        rows.append((1, -5, "system", "s" * system))
+    made = sorted(chat.windows(spark.createDataFrame(rows, TURNS)).collect(), key=lambda w: w.window)
+    own = []
+    for w in made:
+        turns = chat.parse(w.formatted)
+        assert_within_budget(turns, w.n_context, chat.SPAN)
+        own += turns[w.n_context :]
+    assert own == [(role, text) for _, _, role, text in sorted(rows, key=lambda x: x[1])]
+    # the history is there: all but the first window repeat what fits
+    for w, before in zip(made[1:], made):
+        last = chat.parse(before.formatted)[-1]
+        turns = chat.parse(w.formatted)
+        room = chat.SPAN - sum(counted(t) for role, t in turns)
+        if w.n_context == (system is not None):
+            assert counted(last[1]) > min(chat.HISTORY, room)
+
+
 @pytest.mark.parametrize("span, history", [(64, 32), (64, 0), (512, 128)])
 def test_windows_read_back(spark, span, history):
     rows = conversations(span + history)
@@ -65,6 +98,7 @@ def test_windows_read_back(spark, span, history):
         repeated = [t for t in turns[: w.n_context] if t[0] != "system"]
         assert sum(-(-len(t[1].encode()) // 4) + chat.OVERHEAD for t in repeated) <= max(history, 0)
         assert len(w.loss) == sum(role == "assistant" for role, _ in turns[w.n_context :])
+        assert_within_budget(turns, w.n_context, span)
 
 
 def test_chat_limits(spark):
@@ -105,6 +139,23 @@ def test_url_rules_and_bloom(spark):
     assert {r.verdict for r in url_filter.judge(pages, empty, "block").collect()} == {"block"}
 
 
+def test_url_list_with_many_lengths_of_paths(spark):
+    r = random.Random(9)
+    rules = [("site.net", "/" + "x" * n, "block") for n in range(400)] + [("net", "/" + "x" * 450, "allow"), ("other.net", "", "block"), ("net", "/y", "block")]
+    urls = [f"http://{r.choice(['site.net', 'a.site.net', 'other.net', 'x.other.net', 'net', 'z.org'])}/{'x' * r.randrange(600)}{r.choice(['', 'y', '?q'])}" for _ in range(150)] + ["http://site.net", "http://b.net/yy"]
+    found = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rule_list(spark, rules)).collect()
+    assert sorted(map(tuple, found)) == sorted((i, *brute_verdict(u, rules)) for i, u in enumerate(urls))
+
+
+def test_bloom_filter_holds_all_that_was_added(spark):
+    added = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    words = bloom.filter_words(added)
+    others = spark.range(20000, 60000).select(F.xxhash64("id").alias("h")).toArrow().column(0).to_numpy()
+    assert bloom.maybe(words, added.toArrow().column(0).to_numpy()).all() and bloom.maybe(words, others).mean() < 0.05
+    assert not bloom.maybe(bloom.filter_words(added.where("false")), others).any()
+    assert bloom.blocks_for(10**9) == bloom.MOST
+
+
 # toxicity
 
 
@@ -138,6 +189,48 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(truth[i] for i in kept) < 0.1 * sum(truth.values()) and sum(1 - truth[i] for i in kept) > 0.99 * sum(1 - t for t in truth.values())
 
 
+def test_training_step_by_brute_force():
+    """The gradient against differences of the likelihood, over chunks and as a whole; the score against its formula."""
+    r = np.random.default_rng(3)
+    per_doc, toxic = r.integers(0, 5, 12), np.arange(12) % 3 == 0
+    per_sentence = r.integers(0, 6, per_doc.sum())
+    features = r.integers(0, 7, per_sentence.sum())
+    w, bias = r.normal(size=7), -0.3
+
+    def loss(w, bias):
+        total, at, sentence = 0.0, 0, 0
+        for n, bad in zip(per_doc, toxic):
+            clean = 1.0
+            for size in per_sentence[sentence : sentence + n]:
+                clean *= 1 - 1 / (1 + math.exp(-bias - sum(w[f] for f in features[at : at + size])))
+                at += size
+            sentence += n
+            total -= math.log(max(1 - clean, 1e-9)) if bad and n else math.log(clean)
+        return total
+
+    bags = toxicity.Bags(toxic.astype(int), per_doc, per_sentence, features)
+    gw, gb = bags.gradient(w, bias)
+    step = 1e-6
+    assert gw == pytest.approx([(loss(w + step * e, bias) - loss(w - step * e, bias)) / (2 * step) for e in np.eye(7)], abs=1e-4)
+    assert gb == pytest.approx((loss(w, bias + step) - loss(w, bias - step)) / (2 * step), abs=1e-4)
+    cut, sentences = 5, per_doc[:5].sum()
+    halves = [toxicity.Bags(toxic[:cut].astype(int), per_doc[:cut], per_sentence[:sentences], features[: per_sentence[:sentences].sum()]), toxicity.Bags(toxic[cut:].astype(int), per_doc[cut:], per_sentence[sentences:], features[per_sentence[:sentences].sum() :])]
+    assert sum(h.gradient(w, bias)[0] for h in halves) == pytest.approx(gw)
+    odds = [0.4, -2.0, -30.0]
+    assert toxicity.noisy_or(odds) == pytest.approx(1 - math.prod(1 - 1 / (1 + math.exp(-z)) for z in odds))
+    word = toxicity.Model(-1.0, {toxicity._features("bad")[0]: 3.0})
+    assert [z for *_, z in word.sentences("Bad day. Good day! ...")] == [2.0, -1.0]
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i} " * 20) for i in range(4000)] + [(50, "x" * 10**6)] + [(60, "same")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert toxicity.sampled(docs, labels, 25).count() == 25
+    texts = [r.text for r in toxicity.sampled(docs, labels, 8000, 30_000).collect()]
+    assert 0 < sum(map(len, texts)) <= 30_000
+    assert toxicity.sampled(docs.where("doc_id = 60"), labels).count() <= 1
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "...!?"), (None, "a b"), (4, "w " * 100000), (4, "w")], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
     for labels in ([], [(1, 1), (1, 0), (None, 1), (2, None)]):

@@ -254,6 +254,21 @@ def test_mixing_targets_and_edges(spark):
     assert sorted(map(key, again)) == sorted(map(key, out))
 
 
+def test_mixing_does_not_depend_on_the_number_of_ranges(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.when(F.col("doc_id") % 9 > 0, F.col("doc_id")).alias("doc_id"), "text", "source")
+    one, many = (sorted(map(str, mixing.mix(docs, ranges=n).drop("rk").collect())) for n in (1, 1 << 12))
+    assert one == many
+    assert mixing.ranges_for(10**10) >= 10**10 // mixing.RANGE_ROWS // 2
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    docs = docs_of(spark, [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(30)])
+    clashing = docs.select("*", F.lit(1).alias("size"), F.lit("x").alias("taken"), F.lit(2).alias("target"), F.lit(3).alias("hash"), F.lit(4).alias("rk"))
+    found = mixing.mixed_documents(clashing)
+    assert found.columns == clashing.columns
+    assert sorted(r.doc_id for r in found.collect()) == sorted(r.doc_id for r in mixing.mixed_documents(docs).collect())
+
+
 def test_mixed_documents_repeat_rows(spark):
     rows = [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(60)] + [(5, "again", "a"), (5, "again", "a")]
     docs = docs_of(spark, rows)
@@ -280,35 +295,75 @@ def test_sharding_law_and_digests(spark, sf_dir):
     assert max(load.values()) - min(load.values()) <= max(r.size for r in out)
 
 
-def brute_ring(loads, tries, shards, room):
-    """The rounds of the operator, one arc at a time."""
-    at, since = {a: 0 for a in loads}, {a: 0 for a in loads}
-    for turn in range(1, 2 * shards):
+def brute_order(shards, virtual, arcs, spark):
+    """For every arc the shards by the distance of their first point clockwise, from the points alone."""
+    points = [(r.at, r.id // virtual) for r in spark.range(shards * virtual).select("id", F.pmod(F.xxhash64(F.lit("point"), "id"), F.lit(arcs)).alias("at")).collect()]
+    return {a: {s: min((at - a) % arcs for at, owner in points if owner == s) for s in range(shards)} for a in range(arcs)}
+
+
+def brute_ring(loads, tries, shards, slack):
+    """The rule of the docstring, one arc at a time: places are kept, overflow goes on, a round that helps no one for a full turn doubles the slack."""
+    mean = sum(loads.values()) / shards
+    at, since, turn, waiting, stuck = {a: 0 for a in loads}, {a: 0 for a in loads}, 0, None, 0
+    while True:
+        turn += 1
         by = defaultdict(list)
         for a in loads:
             by[tries[a][at[a] % shards]].append(a)
         moved = []
         for held in by.values():
             total = 0
-            for a in sorted(held, key=lambda a: (since[a], -loads[a], a)):
+            for a in sorted(held, key=lambda a: (since[a], loads[a] > mean * (1 + slack), -loads[a], a)):
                 total += loads[a]
-                if total > room:
+                if total > mean * (1 + slack):
                     moved.append(a)
         for a in moved:
             at[a], since[a] = at[a] + 1, turn
         if not moved:
-            break
-    return {a: tries[a][at[a] % shards] for a in loads}
+            return {a: tries[a][at[a] % shards] for a in loads}, slack, turn
+        stuck, waiting = stuck + 1 if waiting == len(moved) else 0, len(moved)
+        if stuck >= shards:
+            slack, stuck = 2 * slack + 1e-6, 0
+
 
+def test_ring_order_follows_the_points_clockwise(spark):
+    distance = brute_order(5, 16, 512, spark)
+    for x in sharding.ring_order(spark, 5, 16, 512).collect():
+        assert sorted(x.tries) == list(range(5))
+        far = [distance[x.arc][s] for s in x.tries]
+        assert far == sorted(far)
 
-def test_ring_places_like_the_sequential_rule(spark):
-    r = random.Random(2)
-    loads = {a: int(r.paretovariate(1.2) * 100) for a in r.sample(range(512), 300)}
+
+@pytest.mark.parametrize("seed, slack, heavy", [(2, 0.05, 1.2), (3, 0.002, 0.9), (4, 0.0, 3.0)])
+def test_ring_places_like_the_sequential_rule(spark, seed, slack, heavy):
+    r = random.Random(seed)
+    loads = {a: int(r.paretovariate(heavy) * 100) for a in r.sample(range(512), 256)}
     tries = {x.arc: list(x.tries) for x in sharding.ring_order(spark, 5, 16, 512).collect()}
-    assert all(sorted(t) == list(range(5)) for t in tries.values())
-    expected = brute_ring(loads, tries, 5, sum(loads.values()) * 1.05 / 5)
-    placed = sharding.place_arcs(spark.createDataFrame(list(loads.items()), "arc long, load long"), 5, 16, 512, 0.05)
-    assert {x.arc: x.shard for x in placed.collect()} == expected
+    expected, reached, _ = brute_ring(loads, tries, 5, slack)
+    placed = {x.arc: x.shard for x in sharding.place_arcs(spark.createDataFrame(list(loads.items()), "arc long, load long"), 5, 16, 512, slack).collect()}
+    assert placed == expected
+    held = defaultdict(int)
+    for a, s in placed.items():
+        held[s] += loads[a]
+    assert max(held.values()) <= sum(loads.values()) / 5 * (1 + reached)
+
+
+def test_a_load_above_every_shard_raises_the_bound(spark):
+    loads = {1: 10_000, **{a: 10 for a in range(2, 200)}}
+    placed = {x.arc: x.shard for x in sharding.place_arcs(spark.createDataFrame(list(loads.items()), "arc long, load long"), 8, 16, 512, 0.002).collect()}
+    small = defaultdict(int)
+    for a in loads.keys() - {1}:
+        small[placed[a]] += loads[a]
+    assert set(placed) == set(loads) and max(small.values()) <= 1.002 * sum(loads.values()) / 8
+
+
+def test_bounded_loads_move_little_when_a_shard_joins(spark):
+    r = random.Random(6)
+    loads = {a: int(r.paretovariate(1.5) * 100) for a in range(4096)}
+    frame = spark.createDataFrame(list(loads.items()), "arc long, load long")
+    eight, nine = ({x.arc: x.shard for x in sharding.place_arcs(frame, n, 64, 4096, 0.01).collect()} for n in (8, 9))
+    moved = sum(n for a, n in loads.items() if eight[a] != nine[a])
+    assert moved < 2 * sum(loads.values()) / 9
 
 
 def test_ring_moves_little_when_a_shard_joins(spark):
