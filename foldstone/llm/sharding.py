@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from foldstone.llm.shared import release, stage
 
-SHARDS, VIRTUAL, ARCS, SLACK = 8, 64, 1 << 14, 0.002
+SHARDS, VIRTUAL, ARCS, SLACK, LEAST_SLACK = 8, 64, 1 << 14, 0.002, 0.001
 
 
 def ring_order(spark: SparkSession, shards: int, virtual: int, arcs: int) -> DataFrame:
@@ -81,7 +81,7 @@ def place_arcs(loads: DataFrame, shards: int, virtual: int, arcs: int, slack: fl
         # what found a place keeps it, so a full turn of the ring in which nothing does can only repeat itself
         stuck = stuck + 1 if waiting == before else 0
         if stuck >= shards:
-            slack, stuck = 2 * slack + 1e-6, 0
+            slack, stuck = max(2 * slack, LEAST_SLACK), 0
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, arcs: int = ARCS, slack: float = SLACK) -> DataFrame:
