@@ -9,10 +9,10 @@ _MAX = (1 << 63) - 1
 
 
 def expired(write_ms: Column, ttl_ms: int, now_ms: Column) -> Column:
-    """ttl > 0 and write_ms + ttl <= now; the sum saturates, and TTL <= 0 never expires."""
+    """ttl > 0 and write_ms + ttl <= now; the sum saturates, and TTL <= 0 never expires, nor does what has no write time."""
     if ttl_ms <= 0:
         return F.lit(False)
-    return F.when(write_ms > _MAX - ttl_ms, F.lit(False)).otherwise(write_ms + ttl_ms <= now_ms)
+    return F.when(write_ms.isNull() | (write_ms > _MAX - ttl_ms), F.lit(False)).otherwise(write_ms + ttl_ms <= now_ms)
 
 
 def live_elements(elements: Column, alive) -> Column:

@@ -19,8 +19,22 @@ def _check(m: int) -> None:
 
 
 def raw_hash(key: Column) -> Column:
-    """A multiplicative hash of an integer key, the same in every engine."""
-    return F.pmod(key * F.lit(2654435761), F.lit(SPACE))
+    """A multiplicative hash of an integer key of any size, the same in every engine; reduced first, so nothing overflows."""
+    return F.pmod(F.pmod(key, F.lit(SPACE)) * F.lit(2654435761), F.lit(SPACE))
+
+
+def bytes_hash(key: Column) -> Column:
+    """The hash of a string (UTF-8) or binary key: from 1, 31 times what there is plus the next byte, modulo 2^31."""
+    digits = F.hex(key)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(key), F.lit(1))), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))
+    held = F.filter(each, lambda x: x != "")
+    return F.when(key.isNotNull(), F.aggregate(held, F.lit(1).cast("long"), lambda h, x: F.pmod(h * 31 + F.conv(x, 16, 10).cast("long"), F.lit(SPACE))))
+
+
+def composite_hash(*keys: Column) -> Column:
+    """The hash of several keys, each a string or binary, with their lengths between them so that borders count."""
+    parts = [p for k in keys for p in (F.octet_length(k).cast("string"), F.lit(":"), F.hex(k))]
+    return bytes_hash(F.concat(*parts))
 
 
 def key_group(raw: Column, m: int) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.plans.spec import StateSpec
+
 
 def reduce(rows: DataFrame, function: Column, *by: str) -> DataFrame:
     """An associative and commutative reduce, as a built-in aggregate: combined before the shuffle."""
@@ -25,11 +27,13 @@ def accumulate(rows: DataFrame, accumulator: dict[str, Column], *by: str) -> Dat
     return rows.groupBy(*by or ("key",)).agg(*[c.alias(n) for n, c in accumulator.items()])
 
 
-def merge_namespaces(state: DataFrame, target: Column, merge: dict[str, Column]) -> DataFrame:
-    """Accumulators of all namespaces with the same target, merged into it.
+def merge_namespaces(state: DataFrame, target: Column, merge: dict[str, Column], spec: StateSpec | None = None) -> DataFrame:
+    """Accumulators of all namespaces with the same target, merged into it; refused for state without namespaces.
 
     No sources is a no-op, absent ones are skipped, an absent target takes the merged value as it is.
     """
+    if spec:
+        spec.require("merge_namespaces")
     moved = state.withColumn("ns", target).where(F.col("ns").isNotNull())
     return moved.groupBy("key", "ns").agg(*[c.alias(n) for n, c in merge.items()])
 

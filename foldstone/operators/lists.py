@@ -24,11 +24,13 @@ def live_elements(ops: DataFrame, *by: str, ttl_ms: int = -1, now_ms: Column | N
     return rows if now_ms is None else rows.where(~expiry.expired(F.col("write_ms"), ttl_ms, now_ms))
 
 
-def list_state(elements: DataFrame, *by: str, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """(key, elements array) in sequence order; a sequence number seen twice counts once."""
-    by = by or ("key",)
-    ordered = F.array_sort(F.collect_set(F.struct(*order, "value")))
-    return elements.groupBy(*by).agg(F.transform(ordered, lambda e: e["value"]).alias("elements"))
+def list_state(elements: DataFrame, *by: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """(key, elements array) in order of (seq, pos), or of seq where there is no pos. A place seen twice counts once."""
+    by, order = by or ("key",), order or (("seq", "pos") if "pos" in elements.columns else ("seq",))
+    place = lambda e: F.struct(*[e[c] for c in order])
+    found = elements.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("__e"))
+    once = F.filter("__e", lambda e, i: (i == 0) | (place(e) != place(F.get(F.col("__e"), i - 1))))
+    return found.select(*by, F.transform(once, lambda e: e["value"]).alias("elements"))
 
 
 def remove_first(elements: Column, value: Column) -> Column:

@@ -21,13 +21,10 @@ def whole_maps(live: DataFrame, *by: str) -> DataFrame:
     return live.groupBy(*by or ("key",)).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("subkey", "value")))).alias("entries"))
 
 
-def get_entry(maps: DataFrame, subkey) -> DataFrame:
-    """maps with value, null where the entry is missing."""
-    return maps.withColumn("value", F.try_element_at("entries", F.lit(subkey)))
-
-
-def contains_entry(maps: DataFrame, subkey) -> DataFrame:
-    return maps.withColumn("present", F.map_contains_key("entries", F.lit(subkey)))
+def lookup(live: DataFrame, subkey, *by: str) -> DataFrame:
+    """(key, value, present) of one entry per key that has any; combined before the shuffle, no map is gathered."""
+    wanted = F.col("subkey") == F.lit(subkey)
+    return live.groupBy(*by or ("key",)).agg(F.max(F.when(wanted, F.col("value"))).alias("value"), F.max(wanted).alias("present"))
 
 
 def multi_get(live: DataFrame, wanted: DataFrame) -> DataFrame:

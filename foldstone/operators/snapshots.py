@@ -21,13 +21,17 @@ def increment(ops: DataFrame, previous, current) -> DataFrame:
 
 
 def items(state: DataFrame, spec: StateSpec, group: Column) -> DataFrame:
-    """Canonical export rows; tombstones have been folded away. Values become JSON where they are nested."""
+    """Canonical export rows; tombstones have been folded away. Values become JSON where they are nested.
+
+    A timer's value is its time. write_ms is the state's write time where it has one, of a list its last element's.
+    """
     columns = set(state.columns)
     text = lambda name: F.col(name).cast("string") if name in columns else F.lit(None).cast("string")
-    value = F.to_json("elements") if "elements" in columns else F.to_json("entries") if "entries" in columns else text("value")
+    value = F.to_json("elements") if "elements" in columns else F.to_json("entries") if "entries" in columns else text("ts_ms") if spec.kind == "PQ" else text("value")
+    written = F.col("write_ms").cast("long") if "write_ms" in columns else F.lit(None).cast("long")
     return state.select(
         F.lit(spec.kind).alias("state_type"), F.lit(spec.name).alias("state_name"), group.cast("int").alias("key_group"),
-        F.col("key").alias("key"), text("ns").alias("ns"), text("subkey").alias("map_key"), value.alias("value"),
+        F.col("key").alias("key"), text("ns").alias("ns"), text("subkey").alias("map_key"), value.alias("value"), written.alias("write_ms"),
     )
 
 
@@ -40,8 +44,31 @@ def savepoint(*states: DataFrame) -> DataFrame:
 
 
 def as_ops(restored: DataFrame, value_type: str) -> DataFrame:
-    """Value and map items as PUTs at sequence 0, older than any write that follows."""
-    return restored.select("key", "ns", F.col("map_key").alias("subkey"), F.lit("PUT").alias("op"), F.col("value").cast(value_type).alias("value"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("long").alias("write_ms"))
+    """Value and map items, namespaced or not, as PUTs at sequence 0 with their write time, older than any write that follows."""
+    rows = restored.where(F.col("state_type").isin("VALUE", "SUB_VALUE", "MAP", "SUB_MAP"))
+    return rows.select("key", "ns", F.col("map_key").alias("subkey"), F.lit("PUT").alias("op"), F.col("value").cast(value_type).alias("value"), F.lit(0).cast("long").alias("seq"), "write_ms")
+
+
+def as_list_ops(restored: DataFrame, element_type: str) -> DataFrame:
+    """List items, namespaced or not: one PUT per element, in place, at sequence 0."""
+    rows = restored.where(F.col("state_type").isin("LIST", "SUB_LIST"))
+    return rows.select("key", "ns", F.lit("PUT").alias("op"), F.lit(0).cast("long").alias("seq"), "write_ms", F.posexplode(F.from_json("value", f"array<{element_type}>")).alias("pos", "value"))
+
+
+def as_timer_ops(restored: DataFrame) -> DataFrame:
+    """Timer items as ADDs at sequence 0."""
+    return restored.where(F.col("state_type") == "PQ").select("key", F.col("value").cast("long").alias("ts_ms"), F.lit("ADD").alias("op"), F.lit(0).cast("long").alias("seq"))
+
+
+def restore_from(kind: str | None, snapshots: list[DataFrame], later: DataFrame, value_type: str = "double") -> DataFrame:
+    """ops to fold: nothing restored, increments (ops), or a savepoint (value and map items); other kinds are refused."""
+    if kind is None:
+        return later
+    if kind == "incremental":
+        return restore(snapshots, later)
+    if kind == "savepoint":
+        return restore([as_ops(s, value_type).select(*later.columns) for s in snapshots], later)
+    raise ValueError(f"cannot restore from {kind}")
 
 
 def restore(snapshots: list[DataFrame], later: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldstone.plans.spec import StateSpec
+
 
 def last_writes(ops: DataFrame, *by: str) -> DataFrame:
     """The newest operation per key, tombstones included."""
@@ -36,7 +38,9 @@ def multi_get(keys: DataFrame, state: DataFrame, *by: str) -> DataFrame:
     return state.join(keys.select(*by).dropna().distinct(), by, "left_semi")
 
 
-def remove_all(state: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+def remove_all(state: DataFrame, keys: DataFrame, *by: str, spec: StateSpec | None = None) -> DataFrame:
+    if spec:
+        spec.require("remove_key")
     return state.join(keys.select(*by or ("key",)), list(by or ("key",)), "left_anti")
 
 
@@ -52,6 +56,8 @@ def get_and_remove(ops: DataFrame, keys: DataFrame, seq: int) -> tuple[DataFrame
     return held, ops.unionByName(gone, allowMissingColumns=True)
 
 
-def namespaces_as_map(state: DataFrame) -> DataFrame:
+def namespaces_as_map(state: DataFrame, spec: StateSpec | None = None) -> DataFrame:
     """(key, entries map<ns, value>) of namespaced state; entries in namespace order."""
+    if spec:
+        spec.require("get_all_namespaces")
     return state.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ns", "value")))).alias("entries"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ TTL_MS, LONGER_MS = 7 * DAY_MS, 14 * DAY_MS
 CUT, PREVIOUS_CUT = 0.6, 0.4
 BLOB_BYTES = 2000
 
-RAW = "((user_id * 2654435761) % 2147483648)"
+RAW = "(((user_id % 2147483648) * 2654435761) % 2147483648)"
 VALUE_OPS = "v AS (SELECT user_id AS key, CAST(ts AS DATE) AS ns, event_type AS subkey, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'PUT' END AS op, value, event_id AS seq, epoch_ms(ts) AS write_ms FROM events)"
 LIST_OPS = "l AS (SELECT user_id AS key, CAST(ts AS DATE) AS ns, CASE event_type WHEN 'error' THEN 'DELETE' WHEN 'signup' THEN 'PUT' ELSE 'APPEND' END AS op, value, event_id AS seq, epoch_ms(ts) AS write_ms FROM events)"
 VALUE_STATE = f"{VALUE_OPS}, s AS (SELECT key, arg_max(value, seq) AS value, max(seq) AS seq, arg_max(write_ms, seq) AS write_ms FROM v GROUP BY key HAVING arg_max(op, seq) = 'PUT')"
@@ -34,7 +34,7 @@ LIST_STATE = f"{LIST_OPS}, r AS (SELECT *, max(CASE WHEN op IN ('PUT', 'DELETE')
 NS_LIST_STATE = LIST_STATE.replace("PARTITION BY key", "PARTITION BY key, ns").replace("SELECT key, list(", "SELECT key, ns, list(").replace("FROM e GROUP BY key", "FROM e GROUP BY key, ns")
 MAP_STATE = f"{VALUE_OPS}, s AS (SELECT key, k AS subkey, arg_max(value, seq) AS value, max(seq) AS seq FROM v GROUP BY key, k HAVING arg_max(op, seq) = 'PUT')"
 CENTS = "CAST(round({} * 100) AS BIGINT)"
-TIMERS = f"t AS (SELECT o_custkey AS key, epoch_ms(o_orderdate) AS ts_ms FROM orders GROUP BY 1, 2 HAVING arg_max(o_orderstatus, o_orderkey) <> 'F'), p AS (SELECT CAST(((key * 2654435761) % 2147483648) % {M} AS BIGINT) AS kg, ts_ms, key FROM t)"
+TIMERS = f"t AS (SELECT o_custkey AS key, epoch_ms(o_orderdate) AS ts_ms FROM orders GROUP BY 1, 2 HAVING arg_max(o_orderstatus, o_orderkey) <> 'F'), p AS (SELECT CAST((((key % 2147483648) * 2654435761) % 2147483648) % {M} AS BIGINT) AS kg, ts_ms, key FROM t)"
 
 
 def query(name: str, sql: str | None):
@@ -252,12 +252,12 @@ def map_entries(spark, d):
 
 @query("map_get", f"WITH {MAP_STATE} SELECT key, max(CASE WHEN subkey = 42 THEN value END) AS value FROM s GROUP BY key")
 def map_get(spark, d):
-    return maps.get_entry(maps.whole_maps(maps.entries(_map_ops(spark, d))), 42).select("key", "value")
+    return maps.lookup(maps.entries(_map_ops(spark, d)), 42).select("key", "value")
 
 
 @query("map_contains", f"WITH {MAP_STATE} SELECT key, bool_or(subkey = 42) AS present FROM s GROUP BY key")
 def map_contains(spark, d):
-    return maps.contains_entry(maps.whole_maps(maps.entries(_map_ops(spark, d))), 42).select("key", "present")
+    return maps.lookup(maps.entries(_map_ops(spark, d)), 42).select("key", "present")
 
 
 @query("map_keys_values", f"WITH {MAP_STATE} SELECT key, string_agg(CAST(subkey AS VARCHAR), ',' ORDER BY subkey) AS subkeys, string_agg(CAST({CENTS.format('value')} AS VARCHAR), ',' ORDER BY subkey) AS cents FROM s GROUP BY key")
@@ -435,8 +435,7 @@ def _timers(spark, d) -> DataFrame:
 
 @query("timer_order", f"WITH {TIMERS} SELECT kg, ts_ms, key, row_number() OVER (PARTITION BY kg ORDER BY ts_ms, key) AS place FROM p")
 def timer_order(spark, d):
-    place = Window.partitionBy("kg").orderBy("ts_ms", "key")
-    return _timers(spark, d).withColumn("place", F.row_number().over(place).cast("long"))
+    return timers.placed(_timers(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
 @query("timer_peek", f"WITH {TIMERS} SELECT kg, min(ts_ms) AS ts_ms, arg_min(key, (ts_ms, key)) AS key FROM p GROUP BY kg")
@@ -462,7 +461,7 @@ def timer_size(spark, d):
     return timers.sizes(_timers(spark, d))
 
 
-@query("timer_head_changes", f"WITH a AS (SELECT CAST(((o_custkey * 2654435761) % 2147483648) % {M} AS BIGINT) AS kg, o_orderkey AS seq, (epoch_ms(o_orderdate), o_custkey) AS t FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT *, min(t) OVER (PARTITION BY kg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head FROM a) SELECT kg, seq, head IS NULL OR t < head AS head_changed FROM b")
+@query("timer_head_changes", f"WITH a AS (SELECT CAST((((o_custkey % 2147483648) * 2654435761) % 2147483648) % {M} AS BIGINT) AS kg, o_orderkey AS seq, (epoch_ms(o_orderdate), o_custkey) AS t FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT *, min(t) OVER (PARTITION BY kg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head FROM a) SELECT kg, seq, head IS NULL OR t < head AS head_changed FROM b")
 def timer_head_changes(spark, d):
     return timers.head_changes(logs.order_timers(logs.table(spark, d, "orders")), _group()).select("kg", "seq", "head_changed")
 
@@ -533,12 +532,29 @@ def keygroup_decode(spark, d):
     return _codes(spark, d, 30000).select("key", keygroups.decode(F.col("code"), 30000).alias("decoded"))
 
 
+@query("keygroup_text", f"WITH h AS (SELECT DISTINCT user_id, session_id AS key, hex(encode(session_id)) AS x FROM (SELECT user_id, event_type || '/' || CAST(user_id AS VARCHAR) AS session_id FROM events)), r AS (SELECT DISTINCT key, list_reduce([CAST(1 AS BIGINT)] || list_transform(range(1, len(x) // 2 + 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT)), lambda a, b: (a * 31 + b) % 2147483648) AS raw FROM h) SELECT key, CAST(raw AS BIGINT) AS raw, CAST(raw % {M} AS BIGINT) AS kg FROM r")
+def keygroup_text(spark, d):
+    """Key groups of string keys."""
+    keys = _events(spark, d).select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key")).distinct()
+    raw = keygroups.bytes_hash(F.col("key"))
+    return keys.select("key", raw.alias("raw"), keygroups.key_group(raw, M).alias("kg"))
+
+
+@query("list_append_bulk", f"WITH l AS (SELECT o_custkey AS key, o_orderdate AS day, count(*) AS n, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2) SELECT key, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * year(day)) AS BIGINT) AS years FROM l GROUP BY key")
+def list_append_bulk(spark, d):
+    """One bulk append per customer and day: the day's year once per order, so equal elements repeat."""
+    days = logs.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("seq"))
+    batches = days.select("key", F.array_repeat(F.year("day").cast("long"), F.col("n").cast("int")).alias("elements"), "seq")
+    state = lists.list_state(lists.live_elements(logs.list_appends(batches)))
+    return state.select("key", F.size("elements").cast("long").alias("n"), F.aggregate("elements", F.lit(0).cast("long"), lambda t, x: t + x).alias("years"))
+
+
 @query("keygroup_pow2", f"WITH {_code_sql(M)} SELECT key, code FROM c")
 def keygroup_pow2(spark, d):
     return _codes(spark, d, M).select("key", keygroups.encode_pow2(F.col("raw"), M).alias("code"))
 
 
-@query("keygroup_filter", f"WITH {VALUE_STATE} SELECT key, value FROM s WHERE ((key * 2654435761) % 2147483648) % {M} BETWEEN 32 AND 63")
+@query("keygroup_filter", f"WITH {VALUE_STATE} SELECT key, value FROM s WHERE (((key % 2147483648) * 2654435761) % 2147483648) % {M} BETWEEN 32 AND 63")
 def keygroup_filter(spark, d):
     return values.value_state(_value_ops(spark, d)).where(_group().between(32, 63)).select("key", "value")
 
@@ -623,17 +639,40 @@ VALUE_SPEC = StateSpec("latest", "VALUE", T.LongType(), T.StringType())
 MAP_SPEC = StateSpec("by_k", "MAP", T.LongType(), T.StringType(), subkey=T.IntegerType())
 
 
-@query("savepoint_items", f"WITH {VALUE_STATE}, m AS (SELECT key, k AS subkey, arg_max(value, seq) AS value FROM v GROUP BY key, k HAVING arg_max(op, seq) = 'PUT'), i AS (SELECT 'VALUE' AS state_type, 'latest' AS state_name, key, NULL::VARCHAR AS map_key, value FROM s UNION ALL SELECT 'MAP', 'by_k', key, CAST(subkey AS VARCHAR), value FROM m) SELECT state_type, state_name, CAST(((key * 2654435761) % 2147483648) % {M} AS INTEGER) AS key_group, key, NULL::VARCHAR AS ns, map_key, CAST({CENTS.format('value')} AS VARCHAR) AS value FROM i")
+@query("savepoint_items", f"WITH {VALUE_STATE}, m AS (SELECT key, k AS subkey, arg_max(value, seq) AS value FROM v GROUP BY key, k HAVING arg_max(op, seq) = 'PUT'), i AS (SELECT 'VALUE' AS state_type, 'latest' AS state_name, key, NULL::VARCHAR AS map_key, value FROM s UNION ALL SELECT 'MAP', 'by_k', key, CAST(subkey AS VARCHAR), value FROM m) SELECT state_type, state_name, CAST((((key % 2147483648) * 2654435761) % 2147483648) % {M} AS INTEGER) AS key_group, key, NULL::VARCHAR AS ns, map_key, CAST({CENTS.format('value')} AS VARCHAR) AS value FROM i")
 def savepoint_items(spark, d):
     """Two states as one ordered stream of items."""
     in_cents = lambda state: state.withColumn("value", _cents(F.col("value")))
     return snapshots.savepoint(
         snapshots.items(in_cents(values.value_state(_value_ops(spark, d))), VALUE_SPEC, _group()),
         snapshots.items(in_cents(maps.entries(_map_ops(spark, d))), MAP_SPEC, _group()),
+    ).drop("write_ms")
+
+
+LIST_SPEC = StateSpec("recent", "SUB_LIST", T.LongType(), T.DoubleType(), namespace=T.DateType())
+TIMER_SPEC = StateSpec("due", "PQ", T.LongType(), T.LongType())
+
+
+@query("savepoint_round_trip", f"WITH {VALUE_STATE}, {NS_LIST_STATE.replace(', s AS (', ', sl AS (')}, t AS (SELECT o_custkey AS key, epoch_ms(o_orderdate) AS ts_ms FROM orders GROUP BY 1, 2 HAVING arg_max(o_orderstatus, o_orderkey) <> 'F') SELECT 'VALUE' AS kind, key, NULL::VARCHAR AS ns, CAST({CENTS.format('value')} AS VARCHAR) AS value FROM s WHERE write_ms + {TTL_MS} > (SELECT max(write_ms) FROM v) UNION ALL SELECT 'SUB_LIST', key, CAST(ns AS VARCHAR), array_to_string(list_transform(elements, lambda x: CAST(round(x * 100) AS BIGINT)), ',') FROM sl UNION ALL SELECT 'PQ', key, NULL, CAST(ts_ms AS VARCHAR) FROM t")
+def savepoint_round_trip(spark, d):
+    """Values (still expiring by their write time), namespaced lists and timers out as items and back."""
+    saved = snapshots.savepoint(
+        snapshots.items(values.value_state(_value_ops(spark, d)), replace(VALUE_SPEC, value=T.DoubleType()), _group()),
+        snapshots.items(_lists(spark, d, "key", "ns"), LIST_SPEC, _group()),
+        snapshots.items(_timers(spark, d), TIMER_SPEC, _group()),
+    )
+    held = _unexpired(values.value_state(snapshots.as_ops(saved, "double")), _now(spark, d), TTL_MS)
+    whole = lists.list_state(lists.live_elements(snapshots.as_list_ops(saved, "double"), "key", "ns"), "key", "ns")
+    pending = timers.pending(snapshots.as_timer_ops(saved), _group())
+    none = F.lit(None).cast("string")
+    return (
+        held.select(F.lit("VALUE").alias("kind"), "key", none.alias("ns"), _cents(F.col("value")).cast("string").alias("value"))
+        .unionByName(whole.select(F.lit("SUB_LIST").alias("kind"), "key", "ns", F.array_join(F.transform("elements", _cents), ",").alias("value")))
+        .unionByName(pending.select(F.lit("PQ").alias("kind"), "key", none.alias("ns"), F.col("ts_ms").cast("string").alias("value")))
     )
 
 
-@query("restore_rescaled", f"WITH {VALUE_OPS}, b AS (SELECT * FROM v WHERE seq <= {_cut_sql(PREVIOUS_CUT)} OR seq > {_cut_sql(CUT)}) SELECT key, arg_max(value, seq) AS value FROM b GROUP BY key HAVING arg_max(op, seq) = 'PUT' AND ((key * 2654435761) % 2147483648) % {M} BETWEEN 43 AND 85")
+@query("restore_rescaled", f"WITH {VALUE_OPS}, b AS (SELECT * FROM v WHERE seq <= {_cut_sql(PREVIOUS_CUT)} OR seq > {_cut_sql(CUT)}) SELECT key, arg_max(value, seq) AS value FROM b GROUP BY key HAVING arg_max(op, seq) = 'PUT' AND (((key % 2147483648) * 2654435761) % 2147483648) % {M} BETWEEN 43 AND 85")
 def restore_rescaled(spark, d):
     """Two snapshots by halves of the key groups, restored into the second of three subtasks, then later writes."""
     ops = _value_ops(spark, d)
@@ -689,7 +728,7 @@ def blob_gc(spark, d):
     return snapshots.collect_blobs(blobs, kept.where("key % 3 <> 0")).select("blob_id", F.octet_length("value").cast("long").alias("bytes"))
 
 
-@query("log_statistics", f"WITH {VALUE_OPS}, n AS (SELECT CAST(((key * 2654435761) % 2147483648) % {M} AS BIGINT) AS kg, key, count(*) AS n, count(*) FILTER (WHERE op = 'DELETE') AS d, arg_max(op, seq) AS last FROM v GROUP BY 1, 2), g AS (SELECT kg, CAST(sum(n) AS BIGINT) AS ops, CAST(sum(d) AS BIGINT) AS tombstones, count(*) AS keys, count(*) FILTER (WHERE last <> 'DELETE') AS live FROM n GROUP BY kg) SELECT *, CASE WHEN live > 0 THEN CAST(ops AS DOUBLE) / live END AS amplification FROM g")
+@query("log_statistics", f"WITH {VALUE_OPS}, n AS (SELECT CAST((((key % 2147483648) * 2654435761) % 2147483648) % {M} AS BIGINT) AS kg, key, count(*) AS n, count(*) FILTER (WHERE op = 'DELETE') AS d, arg_max(op, seq) AS last FROM v GROUP BY 1, 2), g AS (SELECT kg, CAST(sum(n) AS BIGINT) AS ops, CAST(sum(d) AS BIGINT) AS tombstones, count(*) AS keys, count(*) FILTER (WHERE last <> 'DELETE') AS live FROM n GROUP BY kg) SELECT *, CASE WHEN live > 0 THEN CAST(ops AS DOUBLE) / live END AS amplification FROM g")
 def log_statistics(spark, d):
     return maintenance.log_statistics(_value_ops(spark, d), _group())
 

@@ -1,6 +1,6 @@
 """Snapshot items on any file system that Spark writes to.
 
-item: state_type, state_name, key_group, key, ns, map_key, value. Files are
+item: state_type, state_name, key_group, key, ns, map_key, value, write_ms. Files are
 partitioned by ranges of key groups, so a restore prunes to its own range.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITEM = ("state_type", "state_name", "key_group", "key", "ns", "map_key", "value")
+ITEM = ("state_type", "state_name", "key_group", "key", "ns", "map_key", "value", "write_ms")
 
 
 def write_items(items: DataFrame, path: str, groups_per_directory: int = 128, compression: str = "lz4_raw") -> None:

@@ -54,6 +54,13 @@ def null_rules(ops: DataFrame, kind: str) -> DataFrame:
     return keyed.where((F.col("op") == "DELETE") | F.col("value").isNotNull())
 
 
+def list_appends(batches: DataFrame) -> DataFrame:
+    """Bulk appends (key, elements array, seq) as ops, one per element in its place; refused whole if an element is null."""
+    others = [c for c in batches.columns if c != "elements"]
+    sound = F.coalesce(F.forall("elements", lambda x: x.isNotNull()), F.lit(False))
+    return batches.where(sound).select(*others, F.lit("APPEND").alias("op"), F.posexplode("elements").alias("pos", "value"))
+
+
 def list_updates(updates: DataFrame, namespaced: bool) -> DataFrame:
     """Whole-list updates (key, elements array, seq) as ops, one per element.
 

@@ -53,10 +53,13 @@ class _Processor(StatefulProcessor):
         self.seen.update((last,))
         yield from self.report(key[0])
 
+    def restore(self, item: Row) -> None:
+        self.apply(item)
+
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """Restored items: applied as writes older than any other."""
-        self.apply(initialState)
-        self.seen.update((0,))
+        """Restored items: applied as writes older than any other, so a first write numbered 0 counts."""
+        self.restore(initialState)
+        self.seen.update((-1,))
 
     def close(self) -> None:
         pass
@@ -93,28 +96,39 @@ class ReducingProcessor(ValueProcessor):
 
 
 class AggregatingProcessor(_Processor):
-    """Sum and count as the accumulator, their ratio as the result."""
+    """Any aggregate: create() gives an accumulator (a tuple of `schema`), add(acc, value) the next one, result(acc) a double.
+
+    By default sum and count, with their ratio as the result.
+    """
 
     OUTPUT = "key long, value double"
 
+    def __init__(self, create=lambda: (0.0, 0), add=lambda acc, value: (acc[0] + value, acc[1] + 1), result=lambda acc: acc[0] / acc[1], schema="total double, n long", ttl_ms=None):
+        super().__init__(ttl_ms)
+        self.create, self.add, self.result, self.schema = create, add, result, schema
+
     def open(self, handle):
-        self.acc = handle.getValueState("acc", "total double, n long", self.ttl_ms)
+        self.acc = handle.getValueState("acc", self.schema, self.ttl_ms)
 
     def apply(self, op):
         if op["op"] == "DELETE":
             self.acc.clear()
         elif op["value"] is not None:
-            total, n = self.acc.get() if self.acc.exists() else (0.0, 0)
-            self.acc.update((total + op["value"], n + 1))
+            self.acc.update(self.add(tuple(self.acc.get()) if self.acc.exists() else self.create(), op["value"]))
 
     def report(self, key):
-        total, n = self.acc.get() if self.acc.exists() else (0.0, 0)
-        yield Row(key=key, value=total / n if n else None)
+        yield Row(key=key, value=self.result(tuple(self.acc.get())) if self.acc.exists() else None)
 
 
 class ListProcessor(_Processor):
+    """Restored from whole lists (key, elements)."""
+
     OUTPUT = "key long, elements array<double>"
 
+    def restore(self, item):
+        if item["elements"]:
+            self.elements.put([(e,) for e in item["elements"]])
+
     def open(self, handle):
         self.elements = handle.getListState("elements", "value double", self.ttl_ms)
 

@@ -120,6 +120,79 @@ def test_a_sequence_number_seen_twice_counts_once(spark):
     assert lists.list_state(lists.live_elements(ops)).first().elements == [1.0, 1.0]
 
 
+def test_bulk_appends_keep_equal_elements(spark):
+    batches = spark.createDataFrame([(1, [1.0, 1.0, 2.0], 1), (1, [1.0, None], 2), (1, [], 3), (1, [9.0, 1.0], 4)], "key long, elements array<double>, seq long")
+    ops = logs.list_appends(batches)
+    assert lists.list_state(lists.live_elements(ops)).first().elements == [1.0, 1.0, 2.0, 9.0, 1.0]
+    assert lists.list_state(lists.live_elements(ops.union(ops))).first().elements == [1.0, 1.0, 2.0, 9.0, 1.0]
+
+
+def test_restore_keeps_values_lists_and_timers_under_ttl(spark):
+    log = [(k, f"n{k % 2}", None, "PUT", float(k), k, 10 * k) for k in range(1, 9)]
+    ops = spark.createDataFrame(log, OPS)
+    kept = values.value_state(ops)
+    spec = StateSpec("v", "VALUE", T.LongType(), T.DoubleType())
+    group = F.lit(0)
+    back = values.value_state(snapshots.as_ops(snapshots.items(kept, spec, group), "double"))
+    alive = lambda df: {r.key for r in df.where(~expiry.expired(F.col("write_ms"), 40, F.lit(90))).collect()}
+    assert alive(back) == alive(kept) == {6, 7, 8}
+    bulk = values.put_all(ops, spark.createDataFrame([(50, 5.0, 99)], "key long, value double, seq long"))
+    assert 50 in alive(values.value_state(bulk))
+    state = spark.createDataFrame([(1, "a", [1.0, 1.0, 2.0]), (1, "b", [3.0])], "key long, ns string, elements array<double>")
+    rows = snapshots.items(state, StateSpec("l", "SUB_LIST", T.LongType(), T.DoubleType(), namespace=T.StringType()), group)
+    again = lists.list_state(lists.live_elements(snapshots.as_list_ops(rows, "double"), "key", "ns"), "key", "ns")
+    assert {(r.key, r.ns): r.elements for r in again.collect()} == {(1, "a"): [1.0, 1.0, 2.0], (1, "b"): [3.0]}
+    due = spark.createDataFrame([(0, 5, 1), (0, 7, 2)], "kg int, ts_ms long, key long")
+    found = timers.pending(snapshots.as_timer_ops(snapshots.items(due, StateSpec("t", "PQ", T.LongType(), T.LongType()), group)), group)
+    assert {(r.ts_ms, r.key) for r in found.collect()} == {(5, 1), (7, 2)}
+
+
+def test_restore_dispatch(spark):
+    later = spark.createDataFrame([(1, "PUT", 2.0, 1, 5)], "key long, op string, value double, seq long, write_ms long")
+    saved = snapshots.items(values.value_state(later.withColumn("key", F.lit(9).cast("long"))), StateSpec("v", "VALUE", T.LongType(), T.DoubleType()), F.lit(0))
+    keys = lambda df: {r.key for r in values.value_state(df).collect()}
+    assert keys(snapshots.restore_from(None, [], later)) == {1}
+    assert keys(snapshots.restore_from("savepoint", [saved], later)) == {1, 9}
+    assert keys(snapshots.restore_from("incremental", [later.withColumn("key", F.lit(7).cast("long"))], later)) == {1, 7}
+    with pytest.raises(ValueError):
+        snapshots.restore_from("native", [], later)
+
+
+def test_operators_refuse_what_a_kind_refuses(spark):
+    state = spark.createDataFrame([(1, "a", 1.0)], "key long, ns string, value double")
+    plain = StateSpec("v", "VALUE", T.LongType(), T.DoubleType())
+    of_lists = StateSpec("l", "SUB_LIST", T.LongType(), T.DoubleType(), namespace=T.StringType())
+    for refused in (lambda: aggregates.merge_namespaces(state, F.lit("t"), {"value": F.sum("value")}, plain), lambda: values.remove_all(state, state, spec=of_lists), lambda: values.namespaces_as_map(state, of_lists)):
+        with pytest.raises(NotImplementedError):
+            refused()
+
+
+def test_live_restore_and_ttl(spark):
+    ops = spark.createDataFrame([(1, "APPEND", 9.0, 0), (2, "APPEND", 5.0, 0)], "key long, op string, value double, seq long")
+    initial = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "key long, elements array<double>")
+    assert {r.key: r.elements for r in live.run(ops, live.ListProcessor(), initial).collect()} == {1: [1.0, 2.0, 3.0, 9.0], 2: [5.0]}
+    most = live.AggregatingProcessor(lambda: (0.0,), lambda acc, x: (max(acc[0], x),), lambda acc: acc[0], "most double")
+    assert {r.key: r.value for r in live.run(ops, most).collect()} == {1: 9.0, 2: 5.0}
+
+
+def test_timers_in_many_ranges(spark):
+    r = random.Random(4)
+    rows = [(0, r.randrange(10**10), k) for k in range(300)]
+    found = timers.placed(spark.createDataFrame(rows, "kg int, ts_ms long, key long")).orderBy("place").collect()
+    assert [(x.ts_ms, x.key) for x in found] == sorted((t, k) for _, t, k in rows) and [x.place for x in found] == list(range(1, 301))
+    ops = [(k, r.randrange(1000), "ADD", k * 5000) for k in range(100)]
+    head, expected = None, []
+    for k, t, _, _ in ops:
+        expected.append(head is None or (t, k) < head)
+        head = min(head or (t, k), (t, k))
+    out = timers.head_changes(spark.createDataFrame(ops, "key long, ts_ms long, op string, seq long"), F.lit(0)).orderBy("seq").collect()
+    assert [x.head_changed for x in out] == expected
+    added = timers.add_all(spark.createDataFrame([(1, 5, "ADD", 1)], "key long, ts_ms long, op string, seq long"), spark.createDataFrame([(2, 6)], "key long, ts_ms long"), 9)
+    held = timers.pending(added, F.col("key"))
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "kg long")
+    assert {x.kg: x.empty for x in timers.is_empty(asked, held).collect()} == {1: False, 2: False, 3: True}
+
+
 def test_null_rules(spark):
     ops = spark.createDataFrame([(1, "n", 1, "PUT", 1.0, 1, 1), (1, "n", None, "PUT", 2.0, 2, 2), (1, "n", 1, "PUT", None, 3, 3), (None, "n", 1, "PUT", 1.0, 4, 4)], OPS)
     assert values.value_state(logs.null_rules(ops, "value")).count() == 0

@@ -57,6 +57,23 @@ def test_uneven_bucket_ranges_invert_the_map(spark):
     assert ends.where(k.bucket(F.col("code"), F.lit(start), F.lit(span), b) != F.col("id")).count() == 0
 
 
+def test_keys_of_any_size_and_type(spark):
+    rows = spark.createDataFrame([(2**63 - 1,), (-(2**63),), (4 * 10**9,), (-1,), (7,)], "key long").select("key", k.raw_hash(F.col("key")).alias("raw")).collect()
+    assert all(r.raw == (r.key * 2654435761) % k.SPACE for r in rows)
+    texts = ["", "a", "é🙂", "x" * 300]
+
+    def by_hand(raw):
+        h = 1
+        for b in raw:
+            h = (31 * h + b) % k.SPACE
+        return h
+
+    found = spark.createDataFrame([(t, bytearray(t.encode())) for t in texts] + [(None, None)], "t string, b binary").select("t", k.bytes_hash(F.col("t")).alias("x"), k.bytes_hash(F.col("b")).alias("y")).collect()
+    assert all(r.x == r.y == (None if r.t is None else by_hand(r.t.encode())) for r in found)
+    pair = spark.createDataFrame([("ab", "c"), ("a", "bc")], "p string, q string").select(k.composite_hash(F.col("p"), F.col("q")).alias("h")).collect()
+    assert pair[0].h != pair[1].h
+
+
 def test_limits():
     for m in (0, 32769):
         with pytest.raises(ValueError):
