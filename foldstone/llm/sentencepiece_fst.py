@@ -21,7 +21,7 @@ position suffices. Stability of a pair is worked out once and kept.
 
 No piece has U+2581 behind another character, so the input is cut before each
 run of it (and around line feeds, which no piece holds) and the composition is
-done per part; parts repeat, and a bounded cache keeps their ids. A part not met
+done per part; parts repeat, and a bounded cache keeps the ids of those met twice. A part not met
 lately is cut further, between characters that no piece holds next to each other.
 A position is left by arcs no longer than the longest piece, so time is linear in
 the text. All state is per task and bounded. The vocabulary's path is a parameter.
@@ -56,7 +56,7 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _CUT = "\x00"  # between parts; texts that hold it are cut by the general pattern
 _FINAL = ""  # of a final state: its ids and weight
 _SLICE_BYTES = 8 << 20
-_PARTS, _PAIRS, _LONG = 1 << 17, 1 << 17, 64
+_PARTS, _PAIRS, _LONG, _MET = 1 << 17, 1 << 17, 64, 1 << 22
 
 
 class Transducer:
@@ -89,6 +89,7 @@ class Transducer:
         self.decoded = pa.array(self.out, pa.binary())
         self._part: dict[str, bytes] = {"": b""}
         self._before: dict[str, bytes] = {}
+        self._met = bytearray(_MET)
         self._stable: dict[tuple[str, str], bool] = {}
         self._halves: dict[str, tuple[str, str] | None] = {}  # of pieces and single characters
 
@@ -146,8 +147,11 @@ class Transducer:
 
     def _keep(self, part: str, ids: bytes) -> None:
         if len(part) <= _LONG:
+            if not self._met[at := hash(part) % _MET]:  # most parts occur once: they would push the others out
+                self._met[at] = 1
+                return
             if len(self._part) >= _PARTS:  # the older half goes, frequent parts have moved to the newer one
-                self._before, self._part = self._part, {"": b""}
+                self._before, self._part, self._met = self._part, {"": b""}, bytearray(_MET)
             self._part[part] = ids
 
     def decode(self, ids: list[int]) -> str:
