@@ -59,6 +59,21 @@ _SLICE_BYTES = 8 << 20
 _PARTS, _PAIRS, _LONG, _MET = 1 << 17, 1 << 17, 64, 1 << 22
 
 
+class Reader:
+    """What decoding needs of a model: the bytes of each piece."""
+
+    def __init__(self, pieces: list[bytes], dummy_prefix: bool):
+        self.pieces, self.dummy_prefix = pa.array(pieces, pa.binary()), dummy_prefix
+
+    def texts(self, ids: pa.ListArray) -> list[str]:
+        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.pieces.take(ids.values)), b"")
+        return [self._text(raw) for raw in joined.to_pylist()]
+
+    def _text(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+
 class Transducer:
     """The compiled model. Pickles as its tables; caches start empty in each task."""
 
@@ -85,8 +100,7 @@ class Transducer:
         cut_ok = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.plain = cut_ok and not holds_feed
         self.parts = re.compile((f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if holds_feed else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n") if cut_ok else r"(?s).+")
-        self.out = [bytes([int(p[3:5], 16)]) if t == _BYTE else b"" if t == _CONTROL else p.replace(SPACE, " ").encode() for p, _, t in pieces]
-        self.decoded = pa.array(self.out, pa.binary())
+        self.reader = Reader([bytes([int(p[3:5], 16)]) if t == _BYTE else b"" if t == _CONTROL else p.replace(SPACE, " ").encode() for p, _, t in pieces], dummy_prefix)
         self._part: dict[str, bytes] = {"": b""}
         self._before: dict[str, bytes] = {}
         self._met = bytearray(_MET)
@@ -155,15 +169,7 @@ class Transducer:
             self._part[part] = ids
 
     def decode(self, ids: list[int]) -> str:
-        return self._text(b"".join(map(self.out.__getitem__, ids)))
-
-    def decode_lists(self, lists: pa.ListArray) -> list[str]:
-        held = pa.ListArray.from_arrays(lists.offsets, self.decoded.take(lists.values))
-        return list(map(self._text, pc.binary_join(held, b"").to_pylist()))
-
-    def _text(self, raw: bytes) -> str:
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.reader.texts(_list_array([np.array(ids, np.int32)]))[0]
 
     def _fallback(self, point: str) -> bytes:
         ids = [self.bytes[b] for b in point.encode()] if self.bytes else [self.unknown]
@@ -284,15 +290,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded (any columns, ids array<int>) with the text `decoded`; null ids decode to the empty text."""
-    compiled = encoded.sparkSession.sparkContext.broadcast(Transducer.load(model))
+    reader = encoded.sparkSession.sparkContext.broadcast(Transducer.load(model).reader)
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = compiled.value
         for batch in _slices(batches, at):
             column = batch.column(at)
             ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))))
-            texts = t.decode_lists(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column.flatten()))
+            texts = reader.value.texts(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column.flatten()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
