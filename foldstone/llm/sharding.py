@@ -7,11 +7,10 @@ load in bytes; arcs that no longer fit continue clockwise to the next shard
 that they have not tried. Inside a shard, arcs that came in an earlier round
 keep their place, and larger arcs go first, so those that move on are small and
 fill the other shards evenly. Rounds go on until every arc has a place. If a
-full turn of the ring places nothing more, the slack is doubled, so the bound
-that holds in the end is the smallest of slack, 2 slack, 4 slack ... that has
-room for all: a load that no shard can take within the slack (an arc above the
-mean, say) raises the bound for the arcs still without a place and for nothing
-else. Adding a shard moves what its points take over plus the overflow.
+full turn of the ring places nothing more, the slack is doubled, or raised to
+what the least waiting arc needs beside the least loaded shard if that is more: a
+load that no shard can take within the slack (an arc above the mean, say) raises
+the bound for the arcs still without a place and for nothing else. Adding a shard moves what its points take over plus the overflow.
 
 Everything sequential runs on one row per arc (at most `arcs` rows, whatever
 the input); documents are read once for the arc totals and once for the
@@ -81,7 +80,9 @@ def place_arcs(loads: DataFrame, shards: int, virtual: int, arcs: int, slack: fl
         # what found a place keeps it, so a full turn of the ring in which nothing does can only repeat itself
         stuck = stuck + 1 if waiting == before else 0
         if stuck >= shards:
-            slack, stuck = max(2 * slack, LEAST_SLACK), 0
+            kept = placed.where(F.col("since") < turn).groupBy(F.get("tries", F.col("try") % shards)).agg(F.sum("load").alias("held")).agg(F.coalesce(F.min("held"), F.lit(0))).first()[0]
+            least, share = placed.where(F.col("since") == turn).agg(F.min("load"), F.first("mean")).first()
+            slack, stuck = max(2 * slack, LEAST_SLACK, (kept + least) / share - 1), 0
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, arcs: int = ARCS, slack: float = SLACK) -> DataFrame:
