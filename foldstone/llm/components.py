@@ -2,7 +2,7 @@
 
 Every round is two aggregations and two joins whose output goes to the shared
 folder, so nothing is gathered on the driver and a lost executor costs one
-round at most. Minima are combined map-side before the shuffle, so the centre
+round at most. The first aggregation also counts what still is no star. Minima are combined map-side before the shuffle, so the centre
 of a large star costs one row per task; the joins' hot side is left to the
 skew join.
 """
@@ -10,10 +10,10 @@ skew join.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from foldstone.llm.shared import stage
+from foldstone.llm.shared import release, stage
 
 
 def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -37,21 +37,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(), "edges"
     )
     for _ in range(most_rounds):
-        if not _unfinished(work):
-            break
         both = work.union(work.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        seen = Observation()
+        # in a set of stars a node has larger neighbours only, or one
+        kinds = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).observe(seen, F.count_if(F.expr("m < x and n > 1")).alias("unfinished"))
+        least = stage(kinds.select("x", F.least("x", "m").alias("m")), "least")
+        if not seen.get["unfinished"]:
+            release(least)
+            break
         large = both.join(least, "x").where("y > x and y <> m").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        work = stage(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        turned = stage(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        release(work, least)
+        work = turned
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return work.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(work.select("lo", "lo").distinct())
-
-
-def _unfinished(work: DataFrame) -> bool:
-    """Not yet a set of stars: a node has two parents, or a parent has one."""
-    twice = work.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hi")
-    chained = work.select("hi").join(work.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi")
-    return bool(twice.union(chained).limit(1).count())

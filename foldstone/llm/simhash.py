@@ -213,37 +213,35 @@ def near_links(prints: DataFrame, budget: int, rotations: int = 1, sketch_bits:
     """
     allowed = allowance(budget, rotations)
     turns = [r * (64 // rotations) for r in range(rotations)]
-    columns = ["node", "fp"] + ["sketch"] * (sketch_bits is not None)
-    found = None
-    for turn in turns:
-        turned = prints.select("node", (F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn)) if turn else F.col("fp")).alias("fp"), *columns[2:])
-        links = _one_trie(turned, allowed, sketch_bits, node_rows, floor)
-        found = links if found is None else found.union(links)
-    return found
-
-
-def _one_trie(prints: DataFrame, allowed: list[int], sketch_bits: int | None, node_rows: int, floor: int) -> DataFrame:
-    counts = np.zeros(1 << TOP_BITS, np.int64)
-    for prefix, n in prints.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).alias("p")).count().collect():  # at most 2**16 rows
-        counts[prefix] = n
-    plan = prints.sparkSession.sparkContext.broadcast(TriePlan(counts, allowed, node_rows, floor))
     sketched = sketch_bits is not None
+    turned = [F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", 64 - turn)) if turn else F.col("fp") for turn in turns]
+    tops = F.explode(F.array([F.shiftrightunsigned(fp, 64 - TOP_BITS) + (k << TOP_BITS) for k, fp in enumerate(turned)])).alias("p")
+    counts = np.zeros(rotations << TOP_BITS, np.int64)
+    histogram = prints.select(tops).groupBy("p").count().toArrow()  # at most 2**16 rows a rotation
+    counts[histogram.column("p").to_numpy()] = histogram.column("count").to_numpy()
+    plans = prints.sparkSession.sparkContext.broadcast([TriePlan(c, allowed, node_rows, floor) for c in counts.reshape(rotations, -1)])
+
+    def rotated(part: pa.RecordBatch, turn: int) -> np.ndarray:
+        fp = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        return fp << np.uint64(turn) | fp >> np.uint64(64 - turn) if turn else fp
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
-                fp = part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                row, pair = plan.value.meetings(fp)
-                columns = [part.column("node"), part.column("fp")]
+                columns = []
                 if sketched:  # one fixed-width value a row is half the bytes of an array
                     bits = np.ascontiguousarray(part.column("sketch").flatten().to_numpy())
                     ends = np.arange(part.num_rows + 1, dtype=np.int32) * (bits.nbytes // max(part.num_rows, 1))
                     columns.append(pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(bits)]))
-                yield pa.RecordBatch.from_arrays([pa.array(pair), *(c.take(pa.array(row)) for c in columns)], names=["pair", *part.schema.names])
+                for k, turn in enumerate(turns):
+                    fp = rotated(part, turn)
+                    row, pair = plans.value[k].meetings(fp)
+                    taken = [c.take(pa.array(row)) for c in (part.column("node"), pa.array(fp.view(np.int64)), *columns)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int32)), pa.array(pair), *taken], names=["turn", "pair", "node", "fp"] + ["sketch"] * sketched)
 
     def join(table: pa.Table) -> pa.Table:
-        t, pair = plan.value, table.column("pair")[0].as_py()
+        t, pair = plans.value[table.column("turn")[0].as_py()], table.column("pair")[0].as_py()
         low, high = t.sides(pair)
         same = low == high
         table = table.sort_by("node")
@@ -263,8 +261,9 @@ def _one_trie(prints: DataFrame, allowed: list[int], sketch_bits: int | None, no
         far = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"u": node[far], "v": node[root[far]]})
 
-    extra = ", sketch binary" if sketched else ""
-    return prints.mapInArrow(send, "pair long, node long, fp long" + extra).groupBy("pair").applyInArrow(join, "u long, v long")
+    columns = ["node", "fp"] + ["sketch"] * sketched
+    sent = prints.select(*columns).mapInArrow(send, "turn int, pair long, node long, fp long" + (", sketch binary" if sketched else ""))
+    return sent.groupBy("turn", "pair").applyInArrow(join, "u long, v long")
 
 
 def simhash_components(prints: DataFrame, budget: int) -> DataFrame:
@@ -407,7 +406,9 @@ def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
         fresh = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         found = _verified(fresh.select("u", "v"), nodes, docs, words, similarity)
         tested = found if tested is None else tested.union(found)
-        roots = components(tested.where("good").select("u", "v"))
+        good = found.where("good").select("u", "v")
+        # what was connected before is one star each by now
+        roots = components(good if roots is None else good.union(roots.where("node <> root")))
         if final and not pairs.where("more").limit(1).count():
             return roots
         labelled = large.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("label"), F.lit(0).cast("long").alias("block"))
