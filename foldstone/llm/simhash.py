@@ -312,9 +312,9 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, rk, a, b, fp, sketch, bands) of the distinct shingles, however often each is repeated.
+    """(doc_id, rk, a, b, size, fp, sketch, bands) of the distinct shingles, however often each is repeated.
 
-    a and b are a digest of the set of `words`-word shingles, which sketch and bands describe; fp is of the shorter ones.
+    a and b are a digest of the set of `words`-word shingles, which size, sketch and bands describe; fp is of the shorter ones.
     """
 
     def rows(each: Iterator[dict]) -> Iterator[tuple]:
@@ -323,21 +323,21 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
             hashes = distinct_runs(own, words)
             mixed = [hashes * m for m in _MULTIPLIERS[:SKETCHES]]
             a, b = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64).tolist()
-            yield doc["doc_id"], doc["rk"], a, b, majority(distinct_runs(own, CANDIDATE_WORDS)), [majority(h ^ (h >> np.uint64(29))) for h in mixed], bands(hashes)
+            yield doc["doc_id"], doc["rk"], a, b, len(hashes), majority(distinct_runs(own, CANDIDATE_WORDS)), [majority(h ^ (h >> np.uint64(29))) for h in mixed], bands(hashes)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk"))
-    return arrow_rows(picked, "doc_id long, rk long, a long, b long, fp long, sketch array<long>, bands array<long>", rows, 4096)
+    return arrow_rows(picked, "doc_id long, rk long, a long, b long, size long, fp long, sketch array<long>, bands array<long>", rows, 4096)
 
 
-def _nearest(limit: int, nearest: int, final: bool):
-    """For one block of a bucket: the `nearest` nodes of other labels that each node's sketch is close to, as (u, v, more)."""
+def _nearest(limit: int, similarity: float, nearest: int, final: bool):
+    """For one block of a bucket: the `nearest` nodes of other labels and like size that each node's sketch is close to, as (u, v, more)."""
 
     def propose(table: pa.Table) -> pa.Table:
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         out: list[list[np.ndarray]] = [[], [], []]
         for i in range(len(node)):
-            others = np.flatnonzero(label != label[i])
+            others = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9))
             far = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
             others, far = others[far <= limit], far[far <= limit]
             more = len(others) > nearest
@@ -382,26 +382,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
 def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): components of the pairs that share a bucket (key, node, n rows) and have the similarity.
 
-    A pair is left untested only if its sketches rule it out or its nodes are already connected. Large buckets are
+    A pair is left untested only if the sizes of its sets or its sketches rule it out or its nodes are already connected. Large buckets are
     worked off in rounds: each lists the nearest pairs of nodes not yet connected, ever more of them, until it has
     listed all that there are.
     """
     limit = sketch_limit(similarity)
-    sketches = nodes.select("node", "sketch")
+    sketches = nodes.select("node", "sketch", "size")
     groups = buckets.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     paired = groups.select(F.posexplode("nodes").alias("at", "u"), "nodes").select("u", F.explode(F.slice("nodes", F.col("at") + 2, F.lit(SMALL))).alias("v")).distinct()
     far = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n)
-    close = paired.join(sketches.toDF("u", "x"), "u").join(sketches.toDF("v", "y"), "v").where(far <= limit).select("u", "v")
+    close = paired.join(sketches.toDF("u", "x", "m"), "u").join(sketches.toDF("v", "y", "n"), "v").where((F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9) & (far <= limit)).select("u", "v")
     large = stage(buckets.where(F.col("n") > SMALL).join(sketches, "node"), "large-buckets")
-    hubs = large.where(F.col("n") > BLOCK).groupBy("key").agg(F.min(F.struct("node", "n", "sketch")).alias("hub"))
+    hubs = large.where(F.col("n") > BLOCK).groupBy("key").agg(F.min(F.struct("node", "n", "sketch", "size")).alias("hub"))
     block = lambda n: F.ceil(n / BLOCK).cast("long")
-    rows = large.select("key", "node", "sketch", F.col("node").alias("label"), F.pmod(F.xxhash64("node"), block(F.col("n"))).alias("block"))
+    rows = large.select("key", "node", "sketch", "size", F.col("node").alias("label"), F.pmod(F.xxhash64("node"), block(F.col("n"))).alias("block"))
     # the hub joins the blocks of its bucket
-    hub = hubs.select("key", F.col("hub.node").alias("node"), F.col("hub.sketch").alias("sketch"), F.col("hub.node").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("hub.n")) - 1)).alias("block"))
+    hub = hubs.select("key", F.col("hub.node").alias("node"), F.col("hub.sketch").alias("sketch"), F.col("hub.size").alias("size"), F.col("hub.node").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("hub.n")) - 1)).alias("block"))
     rows, nearest, final = rows.union(hub), NEAREST, not hubs.limit(1).count()
     tested, roots = None, None
     while True:
-        listed = rows.groupBy("key", "block").applyInArrow(_nearest(limit, nearest, final), "u long, v long, more boolean").where("u <> v")
+        listed = rows.groupBy("key", "block").applyInArrow(_nearest(limit, similarity, nearest, final), "u long, v long, more boolean").where("u <> v")
         pairs = stage((listed if tested is not None else listed.union(close.withColumn("more", F.lit(False)))).groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
         fresh = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
         found = _verified(fresh.select("u", "v"), nodes, docs, words, similarity)
@@ -411,7 +411,7 @@ def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
         roots = components(good if roots is None else good.union(roots.where("node <> root")))
         if final and not pairs.where("more").limit(1).count():
             return roots
-        labelled = large.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("label"), F.lit(0).cast("long").alias("block"))
+        labelled = large.join(roots, "node", "left").select("key", "node", "sketch", "size", F.coalesce("root", "node").alias("label"), F.lit(0).cast("long").alias("block"))
         still = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
         rows, nearest, final = labelled.join(still.select("key"), "key", "left_semi"), 8 * nearest, True
 
@@ -429,7 +429,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     prints = stage(sketched(docs, words), "sketches")
     # the smallest id first; null ids last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
-    same = [F.first(c).alias(c) for c in ("fp", "sketch", "bands")]
+    same = [F.first(c).alias(c) for c in ("size", "fp", "sketch", "bands")]
     nodes = stage(prints.groupBy("a", "b").agg(first.alias("first"), *same).withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
     links = stage(near_links(nodes.select("node", "fp", "sketch"), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity), floor=2), "near-links")
     trie = links.select("v", "u").union(links.select("v", "v")).distinct().select(F.xxhash64(F.lit("trie"), "v").alias("key"), F.col("u").alias("node"))
