@@ -281,8 +281,8 @@ CANDIDATE_WORDS, CANDIDATE_BITS, ROTATIONS, SKETCHES = 2, 11, 4, 4
 #: Candidates too are documents that share a band, BAND_ROWS equal minima out of BANDS * BAND_ROWS: at a similarity of 0.8
 #: all bands differ once in 150,000 pairs, wherever the edits are.
 BANDS, BAND_ROWS = 30, 5
-#: Buckets of up to SMALL nodes list all their pairs; larger ones list each node's nearest, in blocks of BLOCK at first.
-SMALL, BLOCK, NEAREST = 8, 1024, 2
+#: Buckets of up to SMALL nodes list all their pairs; larger ones list each node's NEAREST, then meet in blocks of BLOCK nodes or BLOCK_SHINGLES.
+SMALL, BLOCK, NEAREST, BLOCK_SHINGLES = 8, 1024, 2, 1 << 20
 #: Odd multipliers that derive the further hashes of a shingle from its first.
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _MINIMA = np.array([xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 9) | 1 for k in range(BANDS * BAND_ROWS)], np.uint64)
@@ -329,38 +329,47 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return arrow_rows(picked, "doc_id long, rk long, a long, b long, size long, fp long, sketch array<long>, bands array<long>", rows, 4096)
 
 
-def _nearest(limit: int, similarity: float, nearest: int, final: bool):
-    """For one block of a bucket: the `nearest` nodes of other labels and like size that each node's sketch is close to, as (u, v, more)."""
+def _like(size: np.ndarray, own: int, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can reach the similarity to a set of `own` shingles."""
+    return np.minimum(size, own) >= similarity * np.maximum(size, own) - 1e-9
+
+
+def _words_of(sketches: pa.ChunkedArray, n: int) -> np.ndarray:
+    return sketches.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+
+
+def _nearest(limit: int, similarity: float):
+    """For one block of a bucket: the NEAREST nodes of like size that each node's sketch is close to, as (u, v)."""
 
     def propose(table: pa.Table) -> pa.Table:
-        node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
-        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        out: list[list[np.ndarray]] = [[], [], []]
+        node, size = (table.column(c).to_numpy() for c in ("node", "size"))
+        sketch = _words_of(table.column("sketch"), len(node))
+        out: list[list[np.ndarray]] = [[], []]
         for i in range(len(node)):
-            others = np.flatnonzero((label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9))
+            others = np.flatnonzero((node != node[i]) & _like(size, size[i], similarity))
             far = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
             others, far = others[far <= limit], far[far <= limit]
-            more = len(others) > nearest
-            if more:
-                others = others[np.argpartition(far, nearest)[:nearest]]
-            for to, x in zip(out, (np.minimum(node[i], node[others]), np.maximum(node[i], node[others]), np.full(len(others), more or not final))):
+            if len(others) > NEAREST:
+                others = others[np.argpartition(far, NEAREST)[:NEAREST]]
+            for to, x in zip(out, (np.minimum(node[i], node[others]), np.maximum(node[i], node[others]))):
                 to.append(x)
-        return pa.table({"u": np.concatenate(out[0]), "v": np.concatenate(out[1]), "more": np.concatenate(out[2]).astype(bool)})
+        return pa.table({"u": np.concatenate(out[0]), "v": np.concatenate(out[1])})
 
     return propose
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v, good): whether the two sets of shingles have the similarity, counted exactly.
+def _texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """asked (__id, __rk, …) with the texts of those rows; texts that nothing asks for are filtered out before they are shuffled."""
+    held = bloom.may_hold(asked.select(F.xxhash64("__id", "__rk").alias("h")).distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk")).where(held(F.xxhash64("doc_id", "rk")))
+    return texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("rk") == F.col("__rk"))).drop("doc_id", "rk", "__id", "__rk")
 
-    The two texts of a pair meet once, in the task of their pair; texts that no pair asks for are filtered out before
-    they are shuffled.
-    """
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs whose two sets of shingles have the similarity, counted exactly. Two texts meet in the task of their pair."""
     sides = pairs.select("u", "v", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node")))).alias("s")).select("u", "v", "s.*")
     asked = stage(sides.join(nodes.select("node", "first"), "node").select("u", "v", "side", F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk")), "asked")
-    held = bloom.may_hold(asked.select(F.xxhash64("__id", "__rk").alias("h")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("rk")).where(held(F.xxhash64("doc_id", "rk")))
-    met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("rk") == F.col("__rk"))).select("u", "v", "side", "text")
+    met = _texts_of(asked, docs).select("u", "v", "side", "text")
 
     def compared(each: Iterator[dict]) -> Iterator[tuple]:
         left, pair, known = np.empty(0, np.uint64), None, None
@@ -371,20 +380,92 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, s
             elif (row["u"], row["v"]) != pair:  # equal rows of docs meet one node: any of them will do
                 pair, right = (row["u"], row["v"]), distinct_runs(word_hashes(row["text"]), words)
                 both = len(np.intersect1d(left, right, assume_unique=True))
-                yield *pair, both >= similarity * (len(left) + len(right) - both) - 1e-9
+                if both >= similarity * (len(left) + len(right) - both) - 1e-9:
+                    yield pair
 
     together = met.repartition("u", "v").sortWithinPartitions("u", "v", "side")
-    found = stage(arrow_rows(together, "u long, v long, good boolean", compared, 8192), "verified")
+    found = stage(arrow_rows(together, "u long, v long", compared, 8192), "verified")
     release(asked)
     return found
 
 
+def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct hashes of each asked node's text, made once, as bytes."""
+
+    def rows(each: Iterator[dict]) -> Iterator[tuple]:
+        for row in each:
+            yield row["node"], distinct_runs(word_hashes(row["text"]), words).tobytes()
+
+    keys = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
+    # equal rows of docs meet one node: any of them will do
+    return stage(arrow_rows(_texts_of(keys, docs), "node long, shingles binary", rows, 256).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+
+def _counted(limit: int, similarity: float):
+    """For two blocks of a bucket: the links between nodes of unlike labels, counted on their sets, as stars of labels (u, v)."""
+
+    def count(table: pa.Table) -> pa.Table:
+        label, size, block = (table.column(c).to_numpy() for c in ("label", "size", "block"))
+        sketch = _words_of(table.column("sketch"), len(label))
+        low = table.column("low")[0].as_py()
+        same = low == table.column("high")[0].as_py()
+        held = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
+        values, at = np.unique(held, return_inverse=True)
+        ends = np.cumsum(size)
+        runs = [at[e - n : e] for e, n in zip(ends.tolist(), size.tolist())]
+        marked = np.zeros(len(values), np.int32)
+        left, right = [], []
+        for i in np.flatnonzero(block == low):
+            # inside one block each pair is met from its first row; otherwise rows of the other block are asked
+            open_ = (np.arange(len(label)) > i) if same else block != low
+            others = np.flatnonzero(open_ & (label != label[i]) & _like(size, size[i], similarity))
+            others = others[np.bitwise_count(sketch[others] ^ sketch[i]).sum(1) <= limit]
+            others = others[size[others] > 0]
+            if not len(others):
+                continue
+            marked[runs[i]] = 1
+            starts = np.concatenate(([0], np.cumsum(size[others])[:-1]))
+            both = np.add.reduceat(marked[np.concatenate([runs[j] for j in others])], starts)
+            marked[runs[i]] = 0
+            linked = others[both >= similarity * (size[i] + size[others] - both) - 1e-9]
+            left.append(np.full(len(linked), label[i]))
+            right.append(label[linked])
+        if not left:
+            return pa.table({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
+        left, right = np.concatenate(left), np.concatenate(right)
+        names, ends_of = np.unique(np.concatenate((left, right)), return_inverse=True)
+        root = local_roots(len(names), ends_of[: len(left)], ends_of[len(left) :])
+        far = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"u": names[far], "v": names[root[far]]})
+
+    return count
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """members (key, node, label, size, sketch) of the buckets that hold several labels, once for each pair of blocks to be met.
+
+    The label with the most nodes of a bucket needs no comparison with itself, so its blocks meet those of the others
+    only. A block holds BLOCK nodes and BLOCK_SHINGLES shingles on average. Blocks are numbered, the others' first.
+    """
+    parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "s", "label")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > most.n")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    cut = split.select("key", F.col("most.label").alias("major"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("few"), blocks(F.col("most.n"), F.col("most.s")).alias("many"))
+    rare, mixed = F.col("label") != F.col("major"), F.xxhash64("node")
+    own = F.when(rare, F.pmod(mixed, F.col("few"))).otherwise(F.col("few") + F.pmod(mixed, F.col("many")))
+    placed = members.join(cut, "key").withColumn("block", own)
+    last = F.when(rare, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "size", "sketch")
+
+
 def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root): components of the pairs that share a bucket (key, node, n rows) and have the similarity.
 
-    A pair is left untested only if the sizes of its sets or its sketches rule it out or its nodes are already connected. Large buckets are
-    worked off in rounds: each lists the nearest pairs of nodes not yet connected, ever more of them, until it has
-    listed all that there are.
+    A pair is left untested only if the sizes of its sets or its sketches rule it out or its nodes are already connected.
+    All pairs of small buckets and the nearest ones of each node in large buckets are counted first, text against text.
+    What these do not connect is counted block against block, on sets of shingles made once for each node. A large bucket
+    of texts that are alike, but no copies, costs the square of their number there, as each pair must be looked at.
     """
     limit = sketch_limit(similarity)
     sketches = nodes.select("node", "sketch", "size")
@@ -395,25 +476,21 @@ def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
     large = stage(buckets.where(F.col("n") > SMALL).join(sketches, "node"), "large-buckets")
     hubs = large.where(F.col("n") > BLOCK).groupBy("key").agg(F.min(F.struct("node", "n", "sketch", "size")).alias("hub"))
     block = lambda n: F.ceil(n / BLOCK).cast("long")
-    rows = large.select("key", "node", "sketch", "size", F.col("node").alias("label"), F.pmod(F.xxhash64("node"), block(F.col("n"))).alias("block"))
+    rows = large.select("key", "node", "sketch", "size", F.pmod(F.xxhash64("node"), block(F.col("n"))).alias("block"))
     # the hub joins the blocks of its bucket
-    hub = hubs.select("key", F.col("hub.node").alias("node"), F.col("hub.sketch").alias("sketch"), F.col("hub.size").alias("size"), F.col("hub.node").alias("label"), F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("hub.n")) - 1)).alias("block"))
-    rows, nearest, final = rows.union(hub), NEAREST, not hubs.limit(1).count()
-    tested, roots = None, None
-    while True:
-        listed = rows.groupBy("key", "block").applyInArrow(_nearest(limit, similarity, nearest, final), "u long, v long, more boolean").where("u <> v")
-        pairs = stage((listed if tested is not None else listed.union(close.withColumn("more", F.lit(False)))).groupBy("u", "v").agg(F.max("more").alias("more")), "near-pairs")
-        fresh = pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
-        found = _verified(fresh.select("u", "v"), nodes, docs, words, similarity)
-        tested = found if tested is None else tested.union(found)
-        good = found.where("good").select("u", "v")
-        # what was connected before is one star each by now
-        roots = components(good if roots is None else good.union(roots.where("node <> root")))
-        if final and not pairs.where("more").limit(1).count():
-            return roots
-        labelled = large.join(roots, "node", "left").select("key", "node", "sketch", "size", F.coalesce("root", "node").alias("label"), F.lit(0).cast("long").alias("block"))
-        still = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-        rows, nearest, final = labelled.join(still.select("key"), "key", "left_semi"), 8 * nearest, True
+    hub = hubs.select("key", F.col("hub.node").alias("node"), F.col("hub.sketch").alias("sketch"), F.col("hub.size").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("hub.n")) - 1)).alias("block"))
+    listed = rows.union(hub).groupBy("key", "block").applyInArrow(_nearest(limit, similarity), "u long, v long")
+    pairs = stage(listed.union(close).distinct(), "near-pairs")
+    found = _verified(pairs, nodes, docs, words, similarity)
+    roots = components(found)
+    labelled = large.join(roots, "node", "left").select("key", "node", "sketch", "size", F.coalesce("root", "node").alias("label"))
+    met = stage(_units(labelled), "units")
+    sets = _sets(met.select("node").distinct(), nodes, docs, words)
+    more = met.join(sets, "node").groupBy("key", "low", "high").applyInArrow(_counted(limit, similarity), "u long, v long")
+    # what was connected before is one star each
+    joined = components(more.union(roots.where("node <> root").select("node", "root")))
+    release(large, pairs, found, met, sets)
+    return joined
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -205,6 +205,29 @@ def test_one_of_each_keeps_what_is_less_similar(spark, monkeypatch, block):
     assert {x.doc_id for x in kept} == set(expected.values())
 
 
+@pytest.mark.parametrize("block, shingles", [(16, 2000), (1024, 1 << 20)])
+def test_one_of_each_in_families_of_edited_copies(spark, monkeypatch, block, shingles):
+    """Many copies of one text, each with its own edits, so that most pairs lie just below or above the similarity."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", shingles)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(3):
+        t = [word() for _ in range(90)]
+        for _ in range(80):
+            own = list(t)
+            for at in r.sample(range(90), r.randrange(1, 5)):
+                own[at] = word()
+            texts.append(" ".join(own))
+    r.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    expected = groups(list(range(len(texts))), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert len(set(expected.values())) > 6
+    kept = simhash.one_of_each(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert {x.doc_id for x in kept} == set(expected.values())
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 300)] + [(7, 7)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
