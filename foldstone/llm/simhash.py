@@ -450,13 +450,16 @@ def _units(members: DataFrame) -> DataFrame:
     parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     split = parts.groupBy("key").agg(F.max(F.struct("n", "s", "label")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > most.n")
     blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("long")
-    cut = split.select("key", F.col("most.label").alias("major"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("few"), blocks(F.col("most.n"), F.col("most.s")).alias("many"))
+    # staged, so that the join's sides are plain shuffles and the rows of a hot key can be split
+    cut = stage(split.select("key", F.col("most.label").alias("major"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("few"), blocks(F.col("most.n"), F.col("most.s")).alias("many")), "cuts")
     rare, mixed = F.col("label") != F.col("major"), F.xxhash64("node")
     own = F.when(rare, F.pmod(mixed, F.col("few"))).otherwise(F.col("few") + F.pmod(mixed, F.col("many")))
     placed = members.join(cut, "key").withColumn("block", own)
     last = F.when(rare, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "size", "sketch")
+    units = stage(met.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "size", "sketch"), "units")
+    release(cut)
+    return units
 
 
 def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -484,7 +487,7 @@ def exact_links(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
     found = _verified(pairs, nodes, docs, words, similarity)
     roots = components(found)
     labelled = large.join(roots, "node", "left").select("key", "node", "sketch", "size", F.coalesce("root", "node").alias("label"))
-    met = stage(_units(labelled), "units")
+    met = _units(labelled)
     sets = _sets(met.select("node").distinct(), nodes, docs, words)
     more = met.join(sets, "node").groupBy("key", "low", "high").applyInArrow(_counted(limit, similarity), "u long, v long")
     # what was connected before is one star each
@@ -511,13 +514,14 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     links = stage(near_links(nodes.select("node", "fp", "sketch"), CANDIDATE_BITS, ROTATIONS, sketch_limit(similarity), floor=2), "near-links")
     trie = links.select("v", "u").union(links.select("v", "v")).distinct().select(F.xxhash64(F.lit("trie"), "v").alias("key"), F.col("u").alias("node"))
     members = nodes.select(F.explode("bands").alias("key"), "node").union(trie)
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # staged for the same reason as the cuts of _units
+    sizes = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     buckets = stage(members.join(sizes, "key"), "buckets")
     roots = exact_links(buckets, nodes, docs, words, similarity)
     stays = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.rk").alias("__rk"))
     this = lambda i, k: F.col(i).eqNullSafe(F.col("__id")) & (F.col(k) == F.col("__rk"))
     goes = stage(prints.select("doc_id", "rk").distinct().join(stays, this("doc_id", "rk"), "left_anti").toDF("__id", "__rk"), "copies")
-    release(prints, nodes, links, buckets)
+    release(prints, nodes, links, sizes, buckets)
     # only rows that may be copies are shuffled
     held = bloom.may_hold(goes.select(F.xxhash64("__id", "__rk").alias("h")))
     told = docs.withColumn("__key", F.xxhash64("text")).withColumn("__own", F.col("doc_id").cast("long")).withColumn("__may", held(F.xxhash64("__own", "__key")))
