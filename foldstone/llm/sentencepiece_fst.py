@@ -17,12 +17,14 @@ model the encoding is the one path all of whose neighbouring pieces are stable
 (merging their joint text by the model's scores gives the two pieces back): arcs
 between other neighbours weigh infinity and all others nothing, and each prefix
 of the input then has exactly one path of finite weight, so one state per
-position suffices. Stability of a pair is worked out once and kept.
+position suffices. Stability of a pair is worked out once and kept. With no
+weights to compare the queue is a stack: an arc that is taken reaches as far as
+any open one, so all that leave its end reach further. Of these only the longest
+is open at first, and a refused one gives way to the next shorter.
 
 No piece has U+2581 behind another character, so the input is cut before each
 run of it (and around line feeds, which no piece holds) and the composition is
-done per part; parts repeat, and a bounded cache keeps the ids of those met twice. A part not met
-lately is cut further, between characters that no piece holds next to each other.
+done per part; parts repeat, and a bounded cache keeps the ids of those met twice.
 A position is left by arcs no longer than the longest piece, so time is linear in
 the text. All state is per task and bounded. The vocabulary's path is a parameter.
 
@@ -54,7 +56,7 @@ SPACE = "▁"
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _CUT = "\x00"  # between parts; texts that hold it are cut by the general pattern
-_FINAL = ""  # of a final state: its ids and weight
+_ARCS, _ID, _WEIGHT = 0, 1, 2  # of a state; the id is -1 where no piece ends
 _SLICE_BYTES = 8 << 20
 _PARTS, _PAIRS, _LONG, _MET = 1 << 17, 1 << 17, 64, 1 << 22
 
@@ -83,19 +85,25 @@ class Transducer:
         self.scores = {p: s for p, s, t in pieces if t == _NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == _BYTE}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == _UNKNOWN), 0)
-        #: Neighbouring characters inside some piece.
-        self.inner = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
         self.penalty = 10 - min(self.scores.values(), default=0.0)
-        self.start: dict = {}
+        self.other = len(pieces)  # stands for any character that no piece covers
+        self.raw = [i.to_bytes(4, "little") for i in range(len(pieces))]
+        start: list = [{}, -1, 0.0]
         for piece, i in self.ids.items():
-            state = self.start
+            state = start
             for c in piece:
-                if c not in state:
-                    state[c] = {}
+                if (arc := state[_ARCS].get(c)) is None:
+                    arc = state[_ARCS][c] = [{}, -1, 0.0]
                     if c == SPACE:
-                        state[" "] = state[c]
-                state = state[c]
-            state[_FINAL] = (i.to_bytes(4, "little"), -self.scores[piece] if kind == _UNIGRAM else 0.0)
+                        state[_ARCS][" "] = arc
+                state = arc
+            state[_ID:] = i, -self.scores[piece]
+        self.start: dict[str, list] = start[_ARCS]
+        #: By id, that of `other` last: characters, and the longest other piece that it begins with (-1: none).
+        self.lengths, self.shorter = [0] * self.other + [1], [-1] * (self.other + 1)
+        for piece, i in self.ids.items():
+            self.lengths[i] = len(piece)
+            self.shorter[i] = next((found for k in range(len(piece) - 1, 0, -1) if (found := self.ids.get(piece[:k], -1)) >= 0), -1)
         holds_feed = any("\n" in p for p in self.ids)
         cut_ok = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.plain = cut_ok and not holds_feed
@@ -104,7 +112,7 @@ class Transducer:
         self._part: dict[str, bytes] = {"": b""}
         self._before: dict[str, bytes] = {}
         self._met = bytearray(_MET)
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable: dict[int, bool] = {}  # by left id * (number of pieces + 1) + right id
         self._halves: dict[str, tuple[str, str] | None] = {}  # of pieces and single characters
 
     def __reduce__(self):
@@ -130,7 +138,7 @@ class Transducer:
         parts = self._split(" " + text if self.dummy_prefix else text)
         ids = list(map(self._part.get, parts))
         if None in ids:
-            ids = [self._part.get(part) or self._cut(part) if found is None else found for part, found in zip(parts, ids)]
+            ids = [self._ids(part) if found is None else found for part, found in zip(parts, ids)]
         return np.frombuffer(b"".join(ids), np.int32)
 
     def _split(self, text: str) -> list[str]:
@@ -141,32 +149,23 @@ class Transducer:
             text = text.replace(SPACE + _CUT + SPACE, SPACE * 2)
         return text.replace("\n", f"{_CUT}\n{_CUT}").split(_CUT)
 
-    def _cut(self, part: str) -> bytes:
-        """A part not met lately: cut wherever no piece holds the two neighbouring characters, so no path crosses."""
-        if (ids := self._before.get(part)) is not None:
-            self._keep(part, ids)
-            return ids
-        inner = self.inner
-        cuts = [0, *(i for i, pair in enumerate(zip(part, part[1:]), 1) if pair not in inner), len(part)]
-        ids = self._ids(part) if len(cuts) == 2 else b"".join([self._ids(part[a:b]) for a, b in zip(cuts, cuts[1:])])
-        self._keep(part, ids)
-        return ids
-
     def _ids(self, part: str) -> bytes:
-        ids = self._part.get(part) or self._before.get(part)
+        """Of a part that is not among the newer half of the kept ones."""
+        ids = self._before.get(part)
         if ids is None:
+            ids = self._part.get(part)  # kept since its text was looked up
+            if ids is not None:
+                return ids
             ids = b"".join(self.shortest(part))
-        self._keep(part, ids)
-        return ids
-
-    def _keep(self, part: str, ids: bytes) -> None:
-        if len(part) <= _LONG:
+            if len(part) > _LONG:
+                return ids
             if not self._met[at := hash(part) % _MET]:  # most parts occur once: they would push the others out
                 self._met[at] = 1
-                return
-            if len(self._part) >= _PARTS:  # the older half goes, frequent parts have moved to the newer one
-                self._before, self._part, self._met = self._part, {"": b""}, bytearray(_MET)
-            self._part[part] = ids
+                return ids
+        if len(self._part) >= _PARTS:  # the older half goes, frequent parts have moved to the newer one
+            self._before, self._part, self._met = self._part, {"": b""}, bytearray(_MET)
+        self._part[part] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         return self.reader.texts(_list_array([np.array(ids, np.int32)]))[0]
@@ -177,42 +176,85 @@ class Transducer:
 
     def shortest(self, text: str) -> list[bytes]:
         """The ids along the shortest path that reads `text`, best first over (weight so far, furthest end)."""
-        n, bpe, stable, pieces, push = len(text), self.kind == _BPE, self._stable, self.ids, heapq.heappush
-        fallback = 0.0 if bpe else self.penalty
-        came: dict[int, tuple[int, bytes]] = {}  # of settled positions: where their arc starts, and its ids
-        heap = [(0.0, 0, 0, b"")]
+        if not text:
+            return []
+        return self._stable_path(text) if self.kind == _BPE else self._lightest_path(text)
+
+    def _lightest_path(self, text: str) -> list[bytes]:
+        n, push = len(text), heapq.heappush
+        came: dict[int, tuple[int, int]] = {}  # of settled positions: where their arc starts, and its id
+        heap = [(0.0, 0, 0, -1)]
         while n not in came:
-            cost, end, start, ids = heapq.heappop(heap)
+            cost, end, begin, piece = heapq.heappop(heap)
             end = -end
             if end in came:
                 continue
-            if start and bpe:
-                pair = text[came[start][0] : start], text[start:end]
-                if not (self._is_stable(*pair) if (known := stable.get(pair)) is None else known):
-                    continue
-            came[end] = start, ids
+            came[end] = begin, piece
             # the arcs that leave this position: the states that the text leads through
-            if end < n and text[end] not in pieces:
-                push(heap, (cost + fallback, -end - 1, end, self._fallback(text[end])))
-            state, at = self.start, end
-            while at < n and (state := state.get(text[at])) is not None:
+            if end < n and text[end] not in self.ids:
+                push(heap, (cost + self.penalty, -end - 1, end, self.other))
+            arcs, at = self.start, end
+            while at < n and (state := arcs.get(text[at])) is not None:
+                arcs, piece, weight = state
                 at += 1
-                if (final := state.get(_FINAL)) and at not in came:
-                    push(heap, (cost + final[1], -at, end, final[0]))
+                if piece >= 0 and at not in came:
+                    push(heap, (cost + weight, -at, end, piece))
         path, at = [], n
         while at:
-            at, ids = came[at]
-            path.append(ids)
+            begin, piece = came[at]
+            path.append(self.raw[piece] if piece < self.other else self._fallback(text[begin:at]))
+            at = begin
         return path[::-1]
 
-    def _is_stable(self, left: str, right: str) -> bool:
-        found = self._stable.get((left, right))
-        if found is None:
-            if len(self._stable) >= _PAIRS:
-                self._stable.clear()
-            # runs of white space share one score, so only carrying the merges out tells
-            found = self._merged(left + right) == [left, right] if SPACE * 2 in left + right else self._holds(left, right)
-            self._stable[left, right] = found
+    def _stable_path(self, text: str) -> list[bytes]:
+        n, stable, first, shorter, lengths, other, width = len(text), self._stable, self.start, self.shorter, self.lengths, self.other, self.other + 1
+        settled, begins = [-1] * (n + 1), [0] * (n + 1)  # of settled positions: their arc's id, and where it starts
+        stack: list[tuple[int, int]] = []  # open arcs: begin, id
+        begin = 0
+        while True:
+            # the longest arc that leaves this position: the states that the text leads through
+            piece, at, state = -1, begin, first.get(text[begin])
+            alone = state is None or state[1] < 0  # no piece covers the character
+            while state is not None:
+                arcs, found, _ = state
+                if found >= 0:
+                    piece = found
+                at += 1
+                state = arcs.get(text[at]) if at < n else None
+            if alone:
+                if piece >= 0:
+                    stack.append((begin, other))
+                else:
+                    piece = other
+            while True:
+                if piece < 0:
+                    begin, piece = stack.pop()
+                end = begin + lengths[piece]
+                if settled[end] < 0:
+                    if not begin:
+                        break
+                    known = stable.get(pair := settled[begin] * width + piece)
+                    if known or known is None and self._is_stable(pair, text[begins[begin] : begin], text[begin:end]):
+                        break
+                piece = shorter[piece]
+            settled[end], begins[end] = piece, begin
+            if end == n:
+                break
+            if (piece := shorter[piece]) >= 0:
+                stack.append((begin, piece))
+            begin = end
+        path, at = [], n
+        while at:
+            begin, piece = begins[at], settled[at]
+            path.append(self.raw[piece] if piece < other else self._fallback(text[begin:at]))
+            at = begin
+        return path[::-1]
+
+    def _is_stable(self, pair: int, left: str, right: str) -> bool:
+        if len(self._stable) >= _PAIRS:
+            self._stable.clear()
+        # runs of white space share one score, so only carrying the merges out tells
+        found = self._stable[pair] = self._merged(left + right) == [left, right] if SPACE * 2 in left + right else self._holds(left, right)
         return found
 
     def _holds(self, left: str, right: str) -> bool:
@@ -274,6 +316,16 @@ def _slices(batches: Iterator[pa.RecordBatch], sized: int, rows: int = 512) -> I
             start = stop
 
 
+_ENCODED = "doc_id long, text string, ids array<int>, ids_sha256 string"
+
+
+def _encoded(t: Transducer, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch (doc_id, text) with its ids and their digest."""
+    ids = [t.encode(text) for text in batch.column(1).to_pylist()]
+    digests = pa.array([hashlib.sha256(i.astype("<i4", copy=False)).hexdigest() for i in ids], pa.string())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list_array(ids), digests], names=["doc_id", "text", "ids", "ids_sha256"])
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text, ids array<int>, ids_sha256: of the ids as little-endian 32-bit integers)"""
     compiled = docs.sparkSession.sparkContext.broadcast(Transducer.load(model))
@@ -281,11 +333,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = compiled.value
         for batch in _slices(batches, 1):
-            ids = [t.encode(text) for text in batch.column(1).to_pylist()]
-            digests = pa.array([hashlib.sha256(i.astype("<i4", copy=False)).hexdigest() for i in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _list_array(ids), digests], names=["doc_id", "text", "ids", "ids_sha256"])
+            yield _encoded(t, batch)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>, ids_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -303,6 +353,19 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
+def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """encode's columns with the text `decoded` from the ids, both in one worker per task."""
+    compiled = docs.sparkSession.sparkContext.broadcast(Transducer.load(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = compiled.value
+        for batch in _slices(batches, 1):
+            encoded = _encoded(t, batch)
+            yield pa.RecordBatch.from_arrays([*encoded.columns, pa.array(t.reader.texts(encoded.column(2)), pa.string())], names=[*encoded.schema.names, "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{_ENCODED}, decoded string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip) of what encode and decode gave."""
     normal = F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
@@ -310,4 +373,4 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))
+    return digests(encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

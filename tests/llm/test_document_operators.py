@@ -297,6 +297,23 @@ def test_long_text_without_spaces_takes_linear_time(library):
     assert ids.tolist() == library.encode(text) and t.decode(ids.tolist()) == text
 
 
+def test_each_part_is_searched_once_and_whole(library):
+    t = sentencepiece_fst.Transducer.load(sentencepiece_fst.MODEL)
+    searched, search = [], t.shortest
+    t.shortest = lambda part: searched.append(part) or search(part)
+    text = "ouéaieuxlepa éaiquement. Èonaiç éêêon\nAnè"
+    assert t.encode(text).tolist() == library.encode(text)
+    assert searched == ["▁ouéaieuxlepa", "▁éaiquement.", "▁Èonaiç", "▁éêêon", "\n", "Anè"]
+
+
+def test_encoding_and_decoding_share_a_worker(spark, sf_dir):
+    for df in (sentencepiece_fst.op3_sentencepiece(spark, sf_dir),):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "é▁\n\n  x"), (4, "some text"), (4, "y")], "doc_id long, text string")
+    apart = sentencepiece_fst.decode(sentencepiece_fst.encode(docs))
+    assert sorted(sentencepiece_fst.encode_decode(docs).collect(), key=str) == sorted(apart.collect(), key=str)
+
+
 def test_decode_gives_texts(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None), (3, "é▁\n\n  x")], "doc_id long, text string")
     ids = sentencepiece_fst.encode(docs).select("doc_id", "ids", F.lit("clash").alias("n_tokens"))
