@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, checked by decoding them."""
-    return sentencepiece_fst.digests(sentencepiece_fst.decode(sentencepiece_fst.encode(docs)))
+    return sentencepiece_fst.digests(sentencepiece_fst.encode_decode(docs))
 
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near_copies), ("mixing", mixed), ("sentencepiece", tokens)]

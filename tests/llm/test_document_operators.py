@@ -307,7 +307,7 @@ def test_each_part_is_searched_once_and_whole(library):
 
 
 def test_encoding_and_decoding_share_a_worker(spark, sf_dir):
-    for df in (sentencepiece_fst.op3_sentencepiece(spark, sf_dir),):
+    for df in (sentencepiece_fst.op3_sentencepiece(spark, sf_dir), corpus_pipeline.tokens(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "é▁\n\n  x"), (4, "some text"), (4, "y")], "doc_id long, text string")
     apart = sentencepiece_fst.decode(sentencepiece_fst.encode(docs))
