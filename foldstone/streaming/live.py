@@ -5,11 +5,16 @@ store. Operations of a key are applied by sequence number inside a micro-batch
 and those not newer than what the key has seen are ignored, so a replayed batch
 changes nothing. After a batch each touched key reports its state. Folding the
 same log as a batch gives the same answer.
+
+A call to the store is a round trip between two processes. So the operations of
+a batch change a copy of their key's state: what they need of it is read once,
+nothing of a key not seen before, and what they leave is written once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,8 +29,106 @@ def prepare(spark: SparkSession) -> None:
     _ = spark.streams.active
 
 
+class _HeldValue:
+    """A value state within one batch of one key."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def begin(self, fresh: bool) -> None:
+        self.fresh, self.known, self.changed, self.value = fresh, fresh, False, None
+
+    def get(self) -> tuple | None:
+        if not self.known:
+            self.known, self.value = True, self.state.get()
+        return self.value
+
+    def update(self, value: tuple | None) -> None:
+        self.known, self.changed, self.value = True, True, value
+
+    def clear(self) -> None:
+        self.update(None)
+
+    def commit(self) -> None:
+        if self.changed and self.value is not None:
+            self.state.update(self.value)
+        elif self.changed and not self.fresh:
+            self.state.clear()
+
+
+class _HeldList:
+    """A list state within one batch of one key."""
+
+    CHUNK = 10_000  # elements in a message
+
+    def __init__(self, state):
+        self.state = state
+
+    def begin(self, fresh: bool) -> None:
+        self.fresh, self.reset, self.added = fresh, False, []
+
+    def get(self) -> list[tuple]:
+        return [*(() if self.fresh or self.reset else self.state.get()), *self.added]
+
+    def put(self, elements: list[tuple]) -> None:
+        self.reset, self.added = True, list(elements)
+
+    def appendValue(self, element: tuple) -> None:
+        self.added.append(element)
+
+    def clear(self) -> None:
+        self.put([])
+
+    def commit(self) -> None:
+        if self.reset and not self.fresh:
+            self.state.clear()
+        for start in range(0, len(self.added), self.CHUNK):
+            self.state.appendList(self.added[start : start + self.CHUNK])
+
+
+class _HeldMap:
+    """A map state within one batch of one key."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def begin(self, fresh: bool) -> None:
+        self.fresh, self.known, self.reset, self.entries, self.stored, self.touched = fresh, fresh, False, {}, set(), set()
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        self._read()
+        return iter(self.entries.items())
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._read()
+        self.entries[key] = value
+        self.touched.add(key)
+
+    def removeKey(self, key: tuple) -> None:
+        self._read()
+        self.entries.pop(key, None)
+        self.touched.add(key)
+
+    def clear(self) -> None:
+        self.known, self.reset, self.entries, self.stored, self.touched = True, True, {}, set(), set()
+
+    def commit(self) -> None:
+        if self.reset and not self.fresh:
+            self.state.clear()
+        for key in self.touched:
+            if key in self.entries:
+                self.state.updateValue(key, self.entries[key])
+            elif key in self.stored:
+                self.state.removeKey(key)
+
+    def _read(self) -> None:
+        if not self.known:
+            self.known, self.entries = True, dict(self.state.iterator())
+            self.stored = set(self.entries)
+
+
 class _Processor(StatefulProcessor):
-    """Applies operations in order; subclasses hold the kind's state."""
+    """Applies operations in order; open() gives the kind's state."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -33,9 +136,9 @@ class _Processor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "seq long")
-        self.open(handle)
+        self.held = self.open(handle)
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> _HeldValue | _HeldList | _HeldMap:
         raise NotImplementedError
 
     def apply(self, op: Row) -> None:
@@ -45,20 +148,28 @@ class _Processor(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last = self.seen.get()[0] if self.seen.exists() else -1
-        for op in sorted(rows, key=lambda r: r["seq"]):
-            if op["seq"] > last:
-                last = op["seq"]
+        ops, seen = list(rows), self.seen.get()
+        at = ops[0].__fields__.index("seq")
+        last = -1 if seen is None else seen[0]
+        self.held.begin(fresh=seen is None)
+        for op in sorted(ops, key=itemgetter(at)):
+            if op[at] > last:
+                last = op[at]
                 self.apply(op)
-        self.seen.update((last,))
-        yield from self.report(key[0])
+        reported = list(self.report(key[0]))
+        self.held.commit()
+        if seen != (last,):
+            self.seen.update((last,))
+        yield from reported
 
     def restore(self, item: Row) -> None:
         self.apply(item)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Restored items: applied as writes older than any other, so a first write numbered 0 counts."""
+        self.held.begin(fresh=False)
         self.restore(initialState)
+        self.held.commit()
         self.seen.update((-1,))
 
     def close(self) -> None:
@@ -69,7 +180,8 @@ class ValueProcessor(_Processor):
     OUTPUT = "key long, value double"
 
     def open(self, handle):
-        self.value = handle.getValueState("value", "value double", self.ttl_ms)
+        self.value = _HeldValue(handle.getValueState("value", "value double", self.ttl_ms))
+        return self.value
 
     def apply(self, op):
         if op["op"] == "DELETE" or op["value"] is None:
@@ -78,7 +190,7 @@ class ValueProcessor(_Processor):
             self.value.update((op["value"],))
 
     def report(self, key):
-        yield Row(key=key, value=self.value.get()[0] if self.value.exists() else None)
+        yield Row(key=key, value=now[0] if (now := self.value.get()) else None)
 
 
 class ReducingProcessor(ValueProcessor):
@@ -92,7 +204,7 @@ class ReducingProcessor(ValueProcessor):
         if op["op"] == "DELETE":
             self.value.clear()
         elif op["value"] is not None:
-            self.value.update((self.function(self.value.get()[0], op["value"]) if self.value.exists() else op["value"],))
+            self.value.update((self.function(now[0], op["value"]) if (now := self.value.get()) else op["value"],))
 
 
 class AggregatingProcessor(_Processor):
@@ -108,16 +220,17 @@ class AggregatingProcessor(_Processor):
         self.create, self.add, self.result, self.schema = create, add, result, schema
 
     def open(self, handle):
-        self.acc = handle.getValueState("acc", self.schema, self.ttl_ms)
+        self.acc = _HeldValue(handle.getValueState("acc", self.schema, self.ttl_ms))
+        return self.acc
 
     def apply(self, op):
         if op["op"] == "DELETE":
             self.acc.clear()
         elif op["value"] is not None:
-            self.acc.update(self.add(tuple(self.acc.get()) if self.acc.exists() else self.create(), op["value"]))
+            self.acc.update(tuple(self.add(self.create() if (now := self.acc.get()) is None else now, op["value"])))
 
     def report(self, key):
-        yield Row(key=key, value=self.result(tuple(self.acc.get())) if self.acc.exists() else None)
+        yield Row(key=key, value=None if (now := self.acc.get()) is None else self.result(now))
 
 
 class ListProcessor(_Processor):
@@ -130,7 +243,8 @@ class ListProcessor(_Processor):
             self.elements.put([(e,) for e in item["elements"]])
 
     def open(self, handle):
-        self.elements = handle.getListState("elements", "value double", self.ttl_ms)
+        self.elements = _HeldList(handle.getListState("elements", "value double", self.ttl_ms))
+        return self.elements
 
     def apply(self, op):
         if op["op"] == "DELETE":
@@ -152,13 +266,14 @@ class MapProcessor(_Processor):
     OUTPUT = "key long, entries map<int,double>"
 
     def open(self, handle):
-        self.entries = handle.getMapState("entries", "subkey int", "value double", self.ttl_ms)
+        self.entries = _HeldMap(handle.getMapState("entries", "subkey int", "value double", self.ttl_ms))
+        return self.entries
 
     def apply(self, op):
         if op["op"] == "DELETE":
             if op["subkey"] is None:
                 self.entries.clear()
-            elif self.entries.containsKey((op["subkey"],)):
+            else:
                 self.entries.removeKey((op["subkey"],))
         elif op["subkey"] is not None and op["value"] is not None:
             self.entries.updateValue((op["subkey"],), (op["value"],))

@@ -1,5 +1,7 @@
 """Live state over several micro-batches: equal to the fold, readable from the checkpoint, restorable."""
 
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from foldstone.operators import lists, values
@@ -65,3 +67,113 @@ def test_timers_fire_in_event_time(spark, tmp_path):
     query = fired.writeStream.foreachBatch(lambda df, i: df.write.mode("append").parquet(out)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(1, 60_000)]
+
+
+class Store:
+    """A state of one key in memory that counts its calls."""
+
+    def __init__(self, kind):
+        self.kind, self.calls = kind, 0
+        self.clear()
+
+    def clear(self):
+        self.calls += 1
+        self.now = {"value": None, "list": [], "map": {}}[self.kind]
+
+    def get(self):
+        self.calls += 1
+        return self.now if self.kind == "value" else iter(self.now)
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.now)
+
+    def update(self, value):
+        self.calls += 1
+        self.now = value
+
+    def put(self, elements):
+        self.calls += 1
+        self.now = list(elements)
+
+    def appendList(self, elements):
+        self.calls += 1
+        self.now = self.now + list(elements)
+
+    def appendValue(self, element):
+        self.appendList([element])
+
+    def iterator(self):
+        self.calls += 1
+        return iter(self.now.items())
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.now
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.now = {**self.now, key: value}
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.now = {k: v for k, v in self.now.items() if k != key}
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Store("value"))
+
+    def getListState(self, name, *_):
+        return self.states.setdefault(name, Store("list"))
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Store("map"))
+
+    def calls(self):
+        return sum(s.calls for s in self.states.values())
+
+
+PROCESSORS = [(live.ValueProcessor, ()), (live.ReducingProcessor, (max,)), (live.AggregatingProcessor, ()), (live.ListProcessor, ()), (live.MapProcessor, ())]
+
+
+@pytest.mark.parametrize("kind, args", PROCESSORS, ids=[k.__name__ for k, _ in PROCESSORS])
+def test_calls_to_the_store_do_not_grow_with_a_batch(kind, args):
+    """1,000 operations in one batch, in batches of 250 and one by one leave the same state and report."""
+
+    def op(i):
+        # deletes of a subkey, of the whole, and none in the last batch of 250
+        return Row(key=7, op="DELETE" if i < 750 and i % 90 == 5 else "APPEND" if i % 4 else "PUT" if i % 60 == 0 else "APPEND", subkey=None if i % 180 == 5 else i % 5, value=None if i % 11 == 3 else float(i), seq=i)
+
+    ops = [op(i) for i in range(1000)]
+    ends = {}
+    for size in (1000, 250, 1):
+        handle, processor = Handle(), kind(*args)
+        processor.init(handle)
+        before = handle.calls()
+        for start in range(0, 1000, size):
+            part = ops[start : start + size]
+            reported = [*processor.handleInputRows((7,), iter(part[::-1] + part[:3]), None)]
+        if size > 1:
+            assert handle.calls() - before <= 12 * (1000 // size)
+        ends[size] = reported, {name: state.now for name, state in handle.states.items()}
+    assert ends[1000] == ends[250] == ends[1]
+
+
+@pytest.mark.parametrize("processor", [live.MapProcessor(), live.ReducingProcessor(max)], ids=["map", "reduce"])
+def test_state_with_deletes_over_batches(spark, tmp_path, processor):
+    rows = [(1, "PUT", 1, 5.0, 1), (1, "PUT", 2, 6.0, 2), (2, "PUT", 1, 9.0, 3), (3, "PUT", 1, 4.0, 4), (4, "PUT", 1, 3.0, 5)]
+    later = [(1, "DELETE", 1, None, 11), (1, "PUT", 3, 2.0, 12), (2, "DELETE", None, None, 13), (2, "PUT", 4, 1.0, 14), (3, "DELETE", 1, None, 15), (4, "PUT", 1, 7.0, 16), (5, "DELETE", None, None, 17)]
+    last = [(1, "PUT", 2, 8.0, 21), (2, "PUT", 4, 0.0, 2), (3, "DELETE", 9, None, 22), (4, "DELETE", None, None, 23)]
+    schema = "key long, op string, subkey int, value double, seq long"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for part in (rows, later, last):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    run_stream(spark, folder, out, checkpoint, processor, schema)
+    if isinstance(processor, live.MapProcessor):
+        assert {r.key: r.entries for r in latest(spark, out).collect()} == {1: {2: 8.0, 3: 2.0}, 2: {4: 1.0}, 3: {}, 4: {}, 5: {}}
+    else:
+        assert {r.key: r.value for r in latest(spark, out).collect()} == {1: 8.0, 2: 1.0, 3: None, 4: None, 5: None}
