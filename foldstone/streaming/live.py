@@ -127,6 +127,77 @@ class _HeldMap:
             self.stored = set(self.entries)
 
 
+class _HeldPackedMap:
+    """A map of ints to doubles within one batch of one key, stored in buckets of many entries.
+
+    The store has no call for several entries of a map. So an entry of the stored map is a bucket: the sorted subkeys of
+    one hash range next to their values. There are as many buckets as bring at most BUCKET entries to each on average,
+    by the number of entries alone; only buckets that the batch touched are written, or all where their number changes.
+    """
+
+    BUCKET = 128
+
+    def __init__(self, state):
+        self.state = state
+
+    def begin(self, fresh: bool) -> None:
+        self.fresh, self.known, self.reset, self.entries, self.stored, self.touched = fresh, fresh, False, {}, set(), set()
+        self.bits = 0
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        self._read()
+        return (((k,), (v,)) for k, v in self.entries.items())
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._read()
+        self.entries[key[0]] = value[0]
+        self.touched.add(key[0])
+
+    def removeKey(self, key: tuple) -> None:
+        self._read()
+        self.entries.pop(key[0], None)
+        self.touched.add(key[0])
+
+    def clear(self) -> None:
+        self.known, self.reset, self.entries, self.stored, self.touched = True, True, {}, set(), set()
+
+    def commit(self) -> None:
+        if self.reset and not self.fresh:
+            self.state.clear()
+        if not self.touched:
+            return
+        bits = self._bits(len(self.entries))
+        whole = bits != self.bits or not self.stored
+        buckets = {} if whole else {self._bucket(subkey, bits): [] for subkey in self.touched}
+        for subkey in sorted(self.entries):
+            at = self._bucket(subkey, bits)
+            if whole:
+                buckets.setdefault(at, []).append(subkey)
+            elif at in buckets:
+                buckets[at].append(subkey)
+        for at, subkeys in buckets.items():
+            if subkeys:
+                self.state.updateValue((at,), (subkeys, [self.entries[k] for k in subkeys]))
+        for at in self.stored if whole else self.stored & buckets.keys():
+            if not buckets.get(at):
+                self.state.removeKey((at,))
+
+    def _bits(self, n: int) -> int:
+        return (max(n - 1, 0) // self.BUCKET).bit_length()
+
+    @staticmethod
+    def _bucket(subkey: int, bits: int) -> int:
+        return (subkey * 2654435761 & 0xFFFFFFFF) >> (32 - bits)
+
+    def _read(self) -> None:
+        if not self.known:
+            self.known = True
+            for (at,), (subkeys, values) in self.state.iterator():
+                self.stored.add(at)
+                self.entries.update(zip(subkeys, values))
+            self.bits = self._bits(len(self.entries))
+
+
 class _Processor(StatefulProcessor):
     """Applies operations in order; open() gives the kind's state."""
 
@@ -138,7 +209,7 @@ class _Processor(StatefulProcessor):
         self.seen = handle.getValueState("seen", "seq long")
         self.held = self.open(handle)
 
-    def open(self, handle: StatefulProcessorHandle) -> _HeldValue | _HeldList | _HeldMap:
+    def open(self, handle: StatefulProcessorHandle) -> _HeldValue | _HeldList | _HeldMap | _HeldPackedMap:
         raise NotImplementedError
 
     def apply(self, op: Row) -> None:
@@ -261,11 +332,14 @@ class ListProcessor(_Processor):
 
 
 class MapProcessor(_Processor):
-    """A DELETE without subkey clears the map."""
+    """A DELETE without subkey clears the map. Entries that expire are stored one by one, as each has its own time; others in buckets."""
 
     OUTPUT = "key long, entries map<int,double>"
 
     def open(self, handle):
+        if not self.ttl_ms:
+            self.entries = _HeldPackedMap(handle.getMapState("entries", "bucket int", "subkeys array<int>, values array<double>"))
+            return self.entries
         self.entries = _HeldMap(handle.getMapState("entries", "subkey int", "value double", self.ttl_ms))
         return self.entries
 

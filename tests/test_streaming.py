@@ -177,3 +177,39 @@ def test_state_with_deletes_over_batches(spark, tmp_path, processor):
         assert {r.key: r.entries for r in latest(spark, out).collect()} == {1: {2: 8.0, 3: 2.0}, 2: {4: 1.0}, 3: {}, 4: {}, 5: {}}
     else:
         assert {r.key: r.value for r in latest(spark, out).collect()} == {1: 8.0, 2: 1.0, 3: None, 4: None, 5: None}
+
+
+def test_map_entries_are_stored_many_in_a_call():
+    """1,000 entries of a key take a few calls, and so does a change of some of them later; what is left is the whole map."""
+    handle, processor = Handle(), live.MapProcessor()
+    processor.init(handle)
+    seq, expected = iter(range(10**6)), {}
+
+    def batch(subkeys, op="PUT"):
+        rows = [Row(key=7, op=op, subkey=k, value=None if op == "DELETE" else float(k), seq=next(seq)) for k in subkeys]
+        before = handle.calls()
+        (reported,) = processor.handleInputRows((7,), iter(rows), None)
+        expected.update({k: float(k) for k in subkeys}) if op == "PUT" else [expected.pop(k, None) for k in subkeys]
+        assert reported["entries"] == expected
+        return handle.calls() - before
+
+    spread = [k * 1_000_003 % 2**32 - 2**31 for k in range(1000)]
+    assert batch(spread) <= 20
+    assert batch(spread[:3]) <= 6
+    assert batch(spread[10:], "DELETE") <= 24
+    assert batch([2**31 - 1, -(2**31), 0]) <= 4
+    assert batch(list(expected), "DELETE") <= 6
+    assert batch(spread[:5]) <= 5
+
+
+def test_large_maps_over_batches(spark, tmp_path):
+    """Buckets of the real store, grown, partly changed and shrunk, one of them by a clear of the whole map."""
+    schema = "key long, op string, subkey int, value double, seq long"
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    first = [(key, "PUT", k, float(k), k) for key in (1, 2) for k in range(700)]
+    second = [(1, "PUT", 5, -5.0, 1000), (1, "DELETE", 6, None, 1001), (2, "DELETE", None, None, 1002), (2, "PUT", 9, 9.5, 1003)]
+    third = [(1, "DELETE", k, None, 2000 + k) for k in range(10, 700)]
+    for part in (first, second, third):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    run_stream(spark, folder, out, checkpoint, live.MapProcessor(), schema)
+    assert {r.key: r.entries for r in latest(spark, out).collect()} == {1: {**{k: float(k) for k in range(10) if k != 6}, 5: -5.0}, 2: {9: 9.5}}
