@@ -11,7 +11,7 @@ they are. Features are 32-bit hashes. Those in fewer than LEAST sampled
 documents, or in a share of them above MOST, are left out, and so are those that
 are rare (below SHARE) both among the toxic ones and among all. The gradient is
 summed over chunks of documents, so the driver's memory is bounded by the
-sample. The model, at most one weight per sampled feature, is broadcast, and
+sample, and it is given back after the fit. The model, at most one weight per sampled feature, is broadcast, and
 every whole text is scored.
 
 Defined results: a null or empty text, or one without words, has score 0. A
@@ -206,7 +206,14 @@ def train(vocabulary: np.ndarray, bags: list[Bags], rounds: int = ROUNDS, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
-    return train(*sample_features(docs, labels, sample, most_bytes))
+    vocabulary, bags = sample_features(docs, labels, sample, most_bytes)
+    # Arrow keeps what it has freed, several times the sample, and the driver's Python lives as long as the application
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    model = train(vocabulary, bags)
+    del bags
+    pool.release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
